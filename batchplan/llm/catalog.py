@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from batchplan.llm.decontaminate import decontaminate
 from batchplan.llm.packing import pack
+from batchplan.llm.pii import pii_report
 from batchplan.llm.quality_rules import quality_rules
 from batchplan.llm.token_counts import token_counts
 from batchplan.llm.token_output import read_token_store, write_token_store
@@ -24,10 +26,18 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
@@ -43,7 +53,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_best_fit_packing, op8_quality_rules, op9_url_filter, op10_token_output)}
+    return {f.__name__: f for f in (op1_token_counts, op3_decontamination, op4_best_fit_packing, op7_pii, op8_quality_rules, op9_url_filter, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
