@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from batchplan.llm.decontaminate import decontaminate
 from batchplan.llm.packing import pack
 from batchplan.llm.pii import pii_report
+from batchplan.llm.quality_lm import quality_classifier
 from batchplan.llm.quality_rules import quality_rules
 from batchplan.llm.token_counts import token_counts
 from batchplan.llm.token_output import read_token_store, write_token_store
@@ -26,6 +27,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return quality_classifier(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
 
@@ -53,7 +59,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_decontamination, op4_best_fit_packing, op7_pii, op8_quality_rules, op9_url_filter, op10_token_output)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op7_pii, op8_quality_rules, op9_url_filter, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
