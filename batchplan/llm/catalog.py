@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from batchplan.llm.decontaminate import decontaminate
+from batchplan.llm.jaccard_join import jaccard_components
 from batchplan.llm.packing import pack
 from batchplan.llm.pii import pii_report
 from batchplan.llm.quality_lm import quality_classifier
@@ -40,6 +41,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op7_pii, op8_quality_rules, op9_url_filter, op10_token_output)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op5_jaccard_join, op7_pii, op8_quality_rules, op9_url_filter, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
