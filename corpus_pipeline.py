@@ -1,8 +1,91 @@
-"""The corpus pipeline (in the making)."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-STAGES = []
+1. quality classifier: documents over their language's perplexity threshold, or without text, go;
+2. n-gram Jaccard join: of the documents that near-duplicate links connect one stays, the one of smallest key;
+3. benchmark decontamination: documents in which a window of a benchmark item occurs go;
+4. personal data: spans are replaced in the text by their kind, disclosing terms removed or generalised;
+5. best-fit packing: what is left, as pieces of token sequences.
+
+Verdicts meet their rows by a key, the hash of id and text: rows of one id with other texts are judged apart.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from batchplan.llm.decontaminate import decontaminate
+from batchplan.llm.jaccard_join import jaccard_components
+from batchplan.llm.packing import pack
+from batchplan.llm.pii import sanitise
+from batchplan.llm.quality_lm import quality_classifier
+from batchplan.llm.spark_io import shared_dir
+from batchplan.llm.tokens import vocabulary
+
+#: Stages on word shingles take five words and a similarity of 0.8 or more.
+WIDTH, SIMILAR = 5, (80, 100)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    return docs.join(verdicts.select("__key").distinct(), "__key", "left_semi").drop("__key")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _keyed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
+    trusted = docs.select("__key", "doc_id").join(labels, "doc_id", "left_semi").select("__key")
+    return _kept(docs, quality_classifier(docs, trusted, id_col="__key").where("kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _keyed(docs)
+    first = jaccard_components(docs, WIDTH, *SIMILAR, id_col="__key").where("__key = component_id")
+    if not first.groupBy("__key").count().where("count > 1").isEmpty():  # equal rows
+        docs = docs.dropDuplicates(["__key"])
+    return _kept(docs, first)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = _keyed(docs)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _kept(docs, decontaminate(docs, items, width=10, id_col="__key").where("not contaminated"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("best_fit_packing", packing),
+]
+#: Perplexities, similarity components and packing have no SQL form here; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir. Each but the last is written to the cluster's shared folder and read again.
+
+    An empty table passes through as empty; null texts go in the first stage.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
+        docs = spark.read.parquet(f"{place}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
