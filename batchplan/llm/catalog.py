@@ -12,6 +12,7 @@ from batchplan.llm.packing import pack
 from batchplan.llm.pii import pii_report
 from batchplan.llm.quality_lm import quality_classifier
 from batchplan.llm.quality_rules import quality_rules
+from batchplan.llm.suffix_dedup import suffix_dedup
 from batchplan.llm.token_counts import token_counts
 from batchplan.llm.token_output import read_token_store, write_token_store
 from batchplan.llm.tokens import vocabulary
@@ -45,6 +46,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400)
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
@@ -64,7 +69,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op5_jaccard_join, op7_pii, op8_quality_rules, op9_url_filter, op10_token_output)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_classifier, op3_decontamination, op4_best_fit_packing, op5_jaccard_join, op6_suffix_dedup, op7_pii, op8_quality_rules, op9_url_filter, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
