@@ -123,16 +123,19 @@ def stratified_split(frame: DataFrame, strata: list[str], id_col: str, share: fl
 
 
 def regression_metrics(frame: DataFrame, actual: str, predicted: str, region: tuple[float, float] | None = None) -> DataFrame:
-    """One row: n, rmse, r2, mae, mape and safe, the share of rows that are not predicted within 1 while beyond it; of a closed range of the actual, if given."""
+    """One row: n, rmse, r2, mae, mape and safe, the share of rows that are not predicted within 1 while beyond it; of a closed range of the actual, if given.
+
+    Rows whose actual is 0 have no share in mape; without rows or variance a figure is null.
+    """
     rows = frame.where(F.col(actual).between(*region)) if region else frame
     y, p = F.col(actual), F.col(predicted)
     return rows.agg(
         F.count("*").alias("n"),
         F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"),
-        (1 - F.sum((y - p) * (y - p)) / (F.var_pop(y) * F.count("*"))).alias("r2"),
+        (1 - F.try_divide(F.sum((y - p) * (y - p)), F.var_pop(y) * F.count("*"))).alias("r2"),
         F.avg(F.abs(y - p)).alias("mae"),
-        F.avg(F.abs((y - p) / y)).alias("mape"),
-        (1 - F.count_if((y > 1) & (p <= 1)) / F.count("*")).alias("safe"),
+        F.avg(F.abs(F.try_divide(y - p, y))).alias("mape"),
+        (1 - F.try_divide(F.count_if((y > 1) & (p <= 1)), F.count("*"))).alias("safe"),
     )
 
 
