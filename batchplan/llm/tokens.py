@@ -41,21 +41,22 @@ def _byte_letters() -> list[str]:
 
 
 class _Table(dict):
-    """Unit -> code; a missing unit is encoded and stored."""
+    """Unit -> code; a missing unit is encoded and stored. Only strings, bytes and numbers are kept, which the garbage collector need not walk."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode, self.ids, self.starts, self.lens = encode, array("I"), array("q"), array("i")
 
     def __missing__(self, unit):
-        ids = self.encode(unit)
-        code = len(self.lens)
-        self.starts.append(len(self.ids))
-        self.lens.append(len(ids))
-        self.ids.extend(ids)
-        self[unit] = code
+        code = self[unit] = self.add(self.encode(unit))
         return code
 
+    def add(self, ids: bytes) -> int:
+        self.starts.append(len(self.ids))
+        self.lens.append(len(ids) >> 2)
+        self.ids.frombytes(ids)
+        return len(self.lens) - 1
+
 
 class TextEncoder:
     """Ids of texts, as the library's encode(text, add_special_tokens=False).
@@ -107,28 +108,32 @@ class TextEncoder:
         return proven
 
     def _reset(self) -> None:
-        self.pretokens: dict[str, tuple[int, ...]] = {w: (i,) for w, i in self.whole.items()}
+        self.pretokens: dict[str, bytes] = {w: array("I", (i,)).tobytes() for w, i in self.whole.items()}
         self.table = _Table(self._word_unit if self.kind == "words" else self._byte_unit)
 
-    def _merge(self, pretoken: str) -> tuple[int, ...]:
+    def _merge(self, pretoken: str) -> bytes:
         ids = self.pretokens.get(pretoken)
         if ids is None:
-            ids = tuple(t.id for t in self.library.model.tokenize("".join([self.letters[b] for b in pretoken.encode()])))
+            letters = self.letters
+            ids = array("I", [t.id for t in self.library.model.tokenize("".join([letters[b] for b in pretoken.encode()]))]).tobytes()
             if len(pretoken) < 64:
                 self.pretokens[pretoken] = ids
         return ids
 
-    def _word_unit(self, unit: str) -> list[int]:
-        if max(unit) >= _LATIN_END:
-            return self.library.encode(unit, add_special_tokens=False).ids
-        return [i for p in _WORD_UNITS.findall(unit.lower()) for i in self._merge(p)]
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word_unit(self, unit: str) -> bytes:
+        if not unit.isascii() and max(unit) >= _LATIN_END:
+            return self._whole(unit)
+        return b"".join([self._merge(p) for p in _WORD_UNITS.findall(unit.lower())])
 
-    def _byte_unit(self, key: str) -> list[int]:
+    def _byte_unit(self, key: str) -> bytes:
         """key: a unit after one space; after "\\r" a unit as it stands; with "\\n" first, itself."""
         unit = key[1:] if key[0] == "\r" else key if key[0] == "\n" else f" {key}"
-        if max(unit) >= _LATIN_END:
-            return self.library.encode(unit, add_special_tokens=False).ids
-        return [i for p in _BYTE_UNITS.findall(unit) for i in self._merge(p)]
+        if not unit.isascii() and max(unit) >= _LATIN_END:
+            return self._whole(unit)
+        return b"".join([self._merge(p) for p in _BYTE_UNITS.findall(unit)])
 
     def units(self, text: str) -> list[str] | None:
         """The text's units, None if only the library can encode it."""
@@ -154,12 +159,7 @@ class TextEncoder:
         for k, text in enumerate(texts):
             units = self.units(text) if text else []
             if units is None:  # under a code of its own, not kept as a unit
-                code = len(table.lens)
-                ids = self.library.encode(text, add_special_tokens=False).ids
-                table.starts.append(len(table.ids))
-                table.lens.append(len(ids))
-                table.ids.extend(ids)
-                codes.append(code)
+                codes.append(table.add(self._whole(text)))
             else:
                 codes.extend(map(look, units))
             ends[k + 1] = len(codes)
