@@ -31,10 +31,10 @@ def lowered(word: Column) -> Column:
 
 
 def item_windows(items: DataFrame, width: int, *, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, window): the windows of `width` words of each item, or all its words if it has fewer but some."""
+    """(item, window, size): the windows of `width` words of each item, joined by spaces, or all its words if it has fewer but some."""
     w = items.select(F.col(id_col).cast("string").alias("item"), F.transform(words(F.col(text_col)), lowered).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
-    return w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("window")).distinct()
+    return w.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, width), " "))).alias("window"), F.least(F.size("w"), F.lit(width)).alias("size")).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -49,33 +49,34 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, *, id_col:
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words(F.col(text_col)).alias("w"))
 
     windows = settled(item_windows(items, width, id_col=item_id_col, text_col=item_text_col).where("item is not null"))
-    vocabulary = windows.select(F.explode("window").alias("word")).distinct()
+    vocabulary = windows.select(F.explode(F.split("window", " ")).alias("word")).distinct()
     small = windows.count() * width <= MOST_BROADCAST * width and vocabulary.count() <= MOST_BROADCAST
     sent = F.broadcast if small else lambda x: x
 
     # Rarity: how often each word of the benchmark stands in the documents.
-    seen = rows.select(F.explode("w").alias("word")).select(lowered(F.col("word")).alias("word"))
+    seen = rows.select(F.explode_outer("w").alias("word")).select(lowered(F.col("word")).alias("word"))
     frequency = seen.join(sent(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
-    distinct = windows.select("window").distinct()
-    each = distinct.select("window", F.posexplode("window").alias("at", "word")).join(frequency, "word", "left")
+    distinct = windows.select("window", "size").distinct()
+    each = distinct.select("window", "size", F.posexplode(F.split("window", " ")).alias("at", "word")).join(frequency, "word", "left")
     first = Window.partitionBy("window").orderBy(F.coalesce("n", F.lit(0)), "word", "at")
-    prefix = settled(each.withColumn("k", F.row_number().over(first)).where("k = 1 and n is not null").select("word", "at", "window"))
+    prefix = settled(each.withColumn("k", F.row_number().over(first)).where("k = 1 and n is not null").select("word", "at", "window", "size"))
 
-    # The join on the prefix, then the bounds, then the words themselves.
+    # The join on the prefix, then the bounds, then the words themselves: all in one generated stage, so that the
+    # document's words are only looked at and never copied into a row of their own.
     if small:
-        at_words = rows.select("id", "h", "w", F.posexplode("w").alias("p", "word")).withColumn("word", lowered(F.col("word")))
+        at_words = rows.select("id", "h", "w", F.posexplode_outer("w").alias("p", "word")).withColumn("word", lowered(F.col("word")))
         met = at_words.join(F.broadcast(prefix), "word")
     else:
-        at_words = rows.select("id", "h", F.posexplode("w").alias("p", "word")).withColumn("word", lowered(F.col("word")))
+        at_words = rows.select("id", "h", F.posexplode_outer("w").alias("p", "word")).withColumn("word", lowered(F.col("word")))
         met = at_words.join(prefix, "word").drop("word").alias("m")
         texts = rows.dropDuplicates(["id", "h"]).alias("t")
         met = met.join(texts, F.col("m.id").eqNullSafe(F.col("t.id")) & (F.col("m.h") == F.col("t.h"))).select("m.*", "t.w")
-    start, size = F.col("p") - F.col("at"), F.size("window")
-    met = met.where((start >= 0) & (start + size <= F.size("w")))
-    hits = met.where(F.transform(F.slice("w", start + 1, size), lowered) == F.col("window")).select("id", "h", "window", start.alias("start"), size.alias("size"))
+    start = F.col("p") - F.col("at")
+    there = (start >= 0) & (start + F.col("size") <= F.size("w"))
+    hits = met.where(there & (lowered(F.array_join(F.slice("w", start + 1, F.col("size")), " ")) == F.col("window"))).select("id", "h", "window", start.alias("start"), "size")
 
     span = F.struct("start", "size")
-    places = hits.join(sent(windows), "window").groupBy("id", "h").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    places = hits.join(sent(windows.select("item", "window")), "window").groupBy("id", "h").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
