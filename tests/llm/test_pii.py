@@ -49,9 +49,10 @@ def test_base_spans(spark):
 def test_terms(spark, most, monkeypatch):
     monkeypatch.setattr(module, "MOST_BROADCAST", most)
     mail, limits = "ceo@corp.example", module.Disclosure(bits=1.0)
-    data = [(k, f"Report {'abcdefghij'[k] * 5} by Zorblatt of the {'klmnopqrst'[k] * 5} office, write {mail} now") for k in range(6)]
+    data = [(k, f"Report {'abcdefghij'[k] * 5} by Zorblatt of the {'klmnopqrst'[k] * 5} office, {'uvwxyzabcd'[k] * 5} {mail} now") for k in range(6)]
     data += [(20 + k, f"the office of number {'abcdefghij'[k % 10] * 6} write now and report") for k in range(60)]
     data += [(90, "it is ZORBLATT, zorblatt's idea"), (91, None), (90, "it is ZORBLATT, zorblatt's idea"), (None, "Zorblatt")]
+    data += [(100 + k, f"{'abcdefghij'[k] * 5} near copies of unique quagga at q@q.qq, no evidence") for k in range(6)]
     data += [(92, "copy unique_zebra x@y.zz")] * 9  # copies are no evidence
     frame = spark.createDataFrame(data, "doc_id long, text string")
     got = {(r.doc_id, r.spans) for r in module.pii_report(frame, limits).collect()}
