@@ -3,7 +3,7 @@
 Sets are grouped into size bands; sets that can link lie in one band or in neighbouring ones. For each band the universe of
 tokens is hashed into m segments, x of which also index their one-deletion neighbourhoods. Two sets that link differ in at
 most H tokens, so with m + x > H some plain segment is equal or some neighbourhood segment differs by at most one token. m and x are chosen
-for each band by cost: rows to index against unrelated sets expected to meet.
+for each band by cost: rows to index against unrelated sets expected to meet in empty segments.
 
 Only components are asked for, so the sets that meet in a segment are not all paired. Equal sets are one class. Each bucket's
 members are verified against its hub, the member that meets most others; what is still apart is verified once more against a
@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 from batchplan.llm.components import components
 from batchplan.llm.shingles import identity, mix, shingle_set
-from batchplan.llm.spark_io import settled
+from batchplan.llm.spark_io import settled, written
 
 _U = np.uint64
 #: Rows of signatures that a task sorts at a time, and members of one bucket among them beyond which they are dealt apart.
 BUFFER, CROWD, SALTS = 1_500_000, 64, 64
-#: Ids of candidate documents are sent to every task up to so many; beyond it the text is joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+#: Bytes of a set's parity bitmap, and members of a hub up to which its buckets are compared pair by pair instead of by differences.
+BITMAP, PAIRWISE = 256, 40
+#: Ids of candidate documents, and pairs (some 60 bytes each), are sent to every task up to so many; beyond it text and sets are shuffled.
+MOST_BROADCAST, MOST_PAIRS = 1_000_000, 300_000
 
 
 def bands(longest: int, num: int, den: int) -> list[int]:
@@ -41,23 +43,39 @@ def bands(longest: int, num: int, den: int) -> list[int]:
     return out
 
 
-def allocate(h: int, size: float, n: int) -> tuple[int, int]:
-    """(m, x): segments, and how many of them index one-deletion neighbourhoods, with m + x = h + 1.
+def _often(mean: float, e: int) -> float:
+    """Expected number of empty segments that are signed if up to e of them are left out: those of sets with more, Poisson."""
+    term, below = math.exp(-mean), 0.0
+    for k in range(1, e + 1):
+        term *= mean / k
+        below += k * term
+    return max(0.0, mean - below)
 
-    Cost: index rows, and for unrelated sets the chance that a segment is empty (or nearly) in both.
+
+def allocate(h: int, size: float, n: int) -> tuple[int, int, int]:
+    """(m, x, e): segments, how many of them index one-deletion neighbourhoods, and how many empty ones are left out.
+
+    Without neighbourhoods m = h + 1 + e: a set with at most e empty segments does not sign them, as any other set has at most as many
+    in common with it and h + 1 segments remain. With them m + x = h + 1 and e = 0. Cost of a set: its index rows, and twenty
+    times the (nearly) empty segments that make it meet unrelated ones.
     """
     best = None
-    for m in range(math.ceil((h + 1) / 2), h + 2):
-        x, load = h + 1 - m, size / m
-        rows = n * (m + x * load)
-        met = n * n / 2 * ((m - x) * math.exp(-2 * load) + x * (math.exp(-load) * (1 + load)) ** 2)
-        cost = rows + 20 * met
+
+    def offer(cost: float, m: int, x: int, e: int) -> None:
+        nonlocal best
         if best is None or cost < best[0]:
-            best = (cost, m, x)
-    return best[1], best[2]
+            best = (cost, m, x, e)
+
+    for e in range(40):
+        m = h + 1 + e
+        offer(m + 20 * min(1.0, n / 100) * _often(m * math.exp(-size / m), e), m, 0, e)
+    for m in range(math.ceil((h + 1) / 2), h + 1):
+        x, load = h + 1 - m, size / m
+        offer(m + x * load + 20 * min(1.0, n / 100) * math.exp(-load) * (m - x + x * (1 + load)), m, x, 0)
+    return best[1:]
 
 
-def _signatures(s: np.ndarray, scheme: int, m: int, x: int) -> np.ndarray:
+def _signatures(s: np.ndarray, scheme: int, m: int, x: int, e: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         where = ((mix(s ^ _U(scheme * 0x9E3779B9 + 1)) >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
         token = mix(s + _U(0x51ED270B))
@@ -68,6 +86,8 @@ def _signatures(s: np.ndarray, scheme: int, m: int, x: int) -> np.ndarray:
         sums[where[first]] = np.add.reduceat(token, first)
         key = mix(np.arange(m, dtype=_U) + _U((scheme + 1) << 32))
         out = [mix(sums ^ key)]
+        if m - len(first) <= e:  # few enough empty segments
+            out = [out[0][where[first]]]
         if x:
             few = where < x
             out.append(mix((sums[where[few]] - token[few]) ^ key[where[few]]))
@@ -80,6 +100,12 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * common >= num * (n - common)
 
 
+def _bitmap(s: np.ndarray) -> bytes:
+    """One bit for each token, flipped by it: two sets differ in at least as many tokens as their bitmaps in bits."""
+    hits = np.bincount((mix(s ^ _U(0x2545F491)) % _U(8 * BITMAP)).astype(np.int64), minlength=8 * BITMAP)
+    return np.packbits((hits & 1).astype(bool)).tobytes()
+
+
 def _batch(schema: str, *columns) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
@@ -88,12 +114,25 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
 
 SETS = "doc_id long, n long, hi long, cid binary"
 SIGNED = "sig long, k long, own long"
+KEPT = "cid binary, n long, bits binary, tokens binary"
 EDGE = "a binary, b binary"
 TOKENS = "hub binary, x binary, n long, d long, inside boolean, token long"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs (a, b) whose sets link. Pairs whose bitmaps differ too much go before whole sets are sent."""
+    sides = [[F.col("cid").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("bits", "n"))] for c in "ab"]
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, BITMAP) for k in (2, 3))
+                most = (b.column(4).to_numpy() + b.column(5).to_numpy()) * (den - num) // (den + num)
+                ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    pairs = pairs.select("a", "b").join(sets.select(*sides[0]), "a").join(sets.select(*sides[1]), "b")
+    pairs = written(pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(near, EDGE))
     left, right = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +140,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             ok = [_linked(np.frombuffer(s.as_buffer(), _U), np.frombuffer(t.as_buffer(), _U), num, den) for s, t in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(test, EDGE)
+    sent = F.broadcast if pairs.count() <= MOST_PAIRS else lambda x: x
+    right = right.join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    return left.join(sent(pairs), "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(test, EDGE)
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,7 +161,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
             cid = [identity(s) if len(s) else None for s in sets]
             yield _batch(SETS, b.column(0), [len(s) for s in sets], [c and int.from_bytes(c[:8], "little", signed=True) for c in cid], cid)
 
-    measured = settled(text.mapInArrow(measure, SETS))
+    measured = written(text.mapInArrow(measure, SETS))
     classes = settled(measured.where("cid is not null").groupBy("cid", "hi").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     sizes = {r.n: r.c for r in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}  # a row for each size of set
     links = _links(text, classes, sizes, width, num, den) if sizes else None
@@ -211,16 +252,16 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
 
     signed = text.mapInArrow(sign, SIGNED)
     dealt = signed.repartition(F.xxhash64("sig", F.when(F.col("own") != F.col("k"), F.pmod("k", F.lit(SALTS))).otherwise(-1)))
-    buckets = settled(dealt.sortWithinPartitions("sig", "k", "own").mapInArrow(met, SIGNED))
+    buckets = written(dealt.sortWithinPartitions("sig", "k", "own").mapInArrow(met, SIGNED))
 
     # Hubs: of each bucket the member that meets most others.
     members = buckets.select("sig", "k").unionByName(buckets.select("sig", F.col("own").alias("k"))).distinct()
     weights = members.join(buckets.groupBy("sig").agg(F.count("*").alias("n")), "sig").groupBy("k").agg(F.sum("n").alias("w"))
     keys = classes.select(F.col("hi").alias("k"), "cid", "n")
-    members = settled(members.join(weights, "k").join(keys, "k").select("sig", "cid", "n", "w"))
-    heaviest = lambda rows: rows.groupBy("sig").agg(F.max_by(F.struct("cid", "n"), F.struct("w", "cid")).alias("hub"))
+    members = written(members.join(weights, "k").join(keys, "k").select("sig", "cid", "n", "w"))
+    heaviest = lambda rows: rows.groupBy("sig").agg(F.max_by(F.struct("cid", "n", "w"), F.struct("w", "cid")).alias("hub"))
     able = F.least("n", "hub.n") * den >= F.greatest("n", "hub.n") * num
-    starred = settled(members.join(heaviest(members), "sig").where(F.col("cid") != F.col("hub.cid")).groupBy(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).agg(F.max(able.cast("int")).alias("able")))
+    starred = written(members.join(heaviest(members), "sig").where(F.col("cid") != F.col("hub.cid")).groupBy(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).agg(F.max(able.cast("int")).alias("able"), F.max("hub.w").alias("w")))
 
     wanted = settled(starred.select(F.col("a").alias("cid")).unionByName(starred.select(F.col("b").alias("cid"))).distinct())
     reps = wanted.join(classes, "cid").select(F.col("rep").alias("id"), "cid")
@@ -229,18 +270,23 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s for s in (shingle_set(t.as_py(), width) for t in b.column(1)) if len(s)]
-            yield _batch("cid binary, tokens binary", [identity(s) for s in sets], [s.tobytes() for s in sets])
+            yield _batch(KEPT, [identity(s) for s in sets], [len(s) for s in sets], [_bitmap(s) for s in sets], [s.tobytes() for s in sets])
 
     ids = reps.select("id").distinct()
     own = text.join(F.broadcast(ids) if count <= MOST_BROADCAST else ids, text["id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = settled(own.mapInArrow(again, "cid binary, tokens binary").join(wanted, "cid").groupBy("cid").agg(F.first("tokens").alias("tokens")))
+    sets = written(own.mapInArrow(again, KEPT).join(F.broadcast(wanted) if count <= MOST_BROADCAST else wanted, "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens")))
 
-    links = settled(_verified(starred.where("able = 1"), sets, num, den))
+    # Each member first meets the heaviest of its hubs; others only those that this leaves in another component.
+    heavy = starred.where("able = 1").groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
+    links = settled(_verified(heavy, sets, num, den))
+    roots = settled(components(links))
+    more = _rooted(_rooted(starred.where("able = 1"), "a", roots, "ra"), "b", roots, "rb").where("ra <> rb")
+    links = settled(links.unionByName(_verified(more, sets, num, den)))
     # A second hub for the members that their hub's component has not taken in.
     apart = _apart(members, starred, links)
     second = apart.join(heaviest(apart.select("sig", "cid", "n", "w")), "sig").where((F.col("cid") != F.col("hub.cid")) & able).select(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).distinct()
     links = settled(links.unionByName(_verified(second, sets, num, den)))
-    rest = settled(_by_difference(starred, links, sets, num, den))
+    rest = written(_apart_pairs(members, heaviest(members), starred, links, sets, num, den))
     return links.unionByName(_verified(rest, sets, num, den))
 
 
@@ -257,12 +303,26 @@ def _apart(members: DataFrame, starred: DataFrame, links: DataFrame) -> DataFram
     return rows.join(hubs, "sig").where("root <> most").select("sig", "cid", "n", "w")
 
 
-def _by_difference(starred: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components that may link, by their differences from a common hub."""
+def _apart_pairs(members: DataFrame, hubs: DataFrame, starred: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket but different components, without those of the hub itself.
+
+    Of hubs with few members, by bucket; of others, by differences from the hub.
+    """
     roots = settled(components(links))
     rows = _rooted(_rooted(starred.select("a", "b"), "a", roots, "ra"), "b", roots, "rb")
-    open_hubs = rows.groupBy("b").agg(F.max((F.col("ra") != F.col("rb")).cast("int")).alias("open")).where("open = 1").select("b")
-    rows = rows.join(open_hubs, "b").select("a", "b", "ra", (F.col("ra") == F.col("rb")).alias("inside"))
+    wide = rows.groupBy("b").agg(F.max((F.col("ra") != F.col("rb")).cast("int")).alias("open"), F.count("*").alias("k")).where("open = 1")
+    wide = settled(wide.select("b", (F.col("k") > PAIRWISE).alias("large")))
+    own = members.join(hubs.select("sig", F.col("hub.cid").alias("b")), "sig").join(wide.where("not large").select("b"), "b").where(F.col("cid") != F.col("b"))
+    own = _rooted(own.select("sig", "cid", "n"), "cid", roots, "root")
+    p, q = own.alias("p"), own.alias("q")
+    able = F.least("p.n", "q.n") * den >= F.greatest("p.n", "q.n") * num
+    few = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.root") < F.col("q.root")) & able).select(F.col("p.cid").alias("a"), F.col("q.cid").alias("b"))
+    rows = rows.join(wide.where("large").select("b"), "b").select("a", "b", "ra", (F.col("ra") == F.col("rb")).alias("inside"))
+    return few.distinct().unionByName(_by_difference(rows, roots, sets, num, den)).distinct()
+
+
+def _by_difference(rows: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that may link, by their differences from a common hub; rows: (a, b, inside), members with their hub."""
     left, right = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t"))
     most = lambda n, p: (n + p) * (den - num) // (den + num)  # noqa: E731  tokens by which linked sets of these sizes may differ
 
@@ -283,7 +343,7 @@ def _by_difference(starred: DataFrame, links: DataFrame, sets: DataFrame, num: i
                 out[5].extend([*prefix.astype(np.int64).tolist(), None])
             yield _batch(TOKENS, *out)
 
-    tokens = settled(rows.join(left, "a").join(right, "b").select("a", "b", "inside", "s", "t").mapInArrow(differ, TOKENS))
+    tokens = written(rows.join(left, "a").join(right, "b").select("a", "b", "inside", "s", "t").mapInArrow(differ, TOKENS))
     tokens = _rooted(tokens, "x", roots, "root")
     shared = tokens.where("token is not null")
     often = shared.groupBy("hub", "token").agg(F.count("*").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub", "token")

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from batchplan.llm import components as components_module
 from batchplan.llm import jaccard_join as module
 from batchplan.llm import shingles
 from batchplan.llm.components import components
@@ -52,11 +53,20 @@ def test_shingles_in_chunks(monkeypatch):
     assert not np.array_equal(shingles.shingle_set("a b", 3), shingles.shingle_set("a b a b", 3)[:1])
 
 
+def test_bitmaps_bound_differences():
+    rng = np.random.default_rng(4)
+    for n in (3, 200, 6000):
+        a, b = (np.unique(rng.integers(0, 2 * n, n).astype(np.uint64)) for _ in range(2))
+        x, y = (np.frombuffer(module._bitmap(s), np.uint8) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
 def test_allocation():
-    for h, size, n in [(1, 10, 5), (50, 500, 10_000), (50, 500, 10**9), (9, 30, 10**8)]:
-        m, x = module.allocate(h, size, n)
-        assert m + x == h + 1 and 0 <= x <= m
-    assert module.allocate(9, 30, 10**8)[1] > 0  # unrelated short sets would meet in empty segments
+    for h, size, n in [(1, 10, 5), (50, 500, 10_000), (100, 450, 10**9), (9, 30, 10**8), (3, 6, 10**6)]:
+        m, x, e = module.allocate(h, size, n)
+        assert (m + x == h + 1 and e == 0 and x <= m) if x else m == h + 1 + e
+    assert module.allocate(50, 500, 10_000)[1] == 0 and module.allocate(100, 450, 10**6)[2] > 1  # empty segments are left out
+    assert module.allocate(3, 6, 10**6)[1] > 0  # unrelated short sets would meet in empty segments
     firsts = module.bands(5000, 90, 100)
     for k, (a, b) in enumerate(zip(firsts, firsts[1:], strict=False)):
         assert k + 2 >= len(firsts) or (b - 1) * 100 // 90 < firsts[k + 2] and a < b
@@ -90,6 +100,8 @@ def corpus():
 def test_against_brute_force(spark, monkeypatch, num, den, crowd, most):
     monkeypatch.setattr(module, "CROWD", crowd)
     monkeypatch.setattr(module, "MOST_BROADCAST", most)
+    monkeypatch.setattr(module, "MOST_PAIRS", most)
+    monkeypatch.setattr(module, "PAIRWISE", 3 if most else 0)
     data = corpus()
     got = module.jaccard_components(spark.createDataFrame(data, "doc_id long, text string, cid string, n long").repartition(3), 3, num, den).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in got) == brute(data, 3, num, den)
@@ -102,7 +114,9 @@ def test_no_documents(spark):
     assert sorted(map(tuple, module.jaccard_components(one).collect())) == [(4, 0, 4), (5, 0, 5)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components_module, "FEW", few)
     rng = random.Random(5)
     pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
