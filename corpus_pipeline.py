@@ -22,40 +22,44 @@ from batchplan.llm.jaccard_join import jaccard_components
 from batchplan.llm.packing import pack
 from batchplan.llm.pii import sanitise
 from batchplan.llm.quality_lm import quality_classifier
-from batchplan.llm.spark_io import shared_dir
+from batchplan.llm.spark_io import settled, shared_dir, written
 from batchplan.llm.tokens import vocabulary
 
 #: Stages on word shingles take five words and a similarity of 0.8 or more.
 WIDTH, SIMILAR = 5, (80, 100)
+#: Keys of rejected documents (8 bytes each).
+MOST_BROADCAST = 2_000_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    return docs.join(verdicts.select("__key").distinct(), "__key", "left_semi").drop("__key")
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents whose key is not rejected. Keys are sent to every task up to MOST_BROADCAST, beyond it the text is shuffled."""
+    keys = settled(rejected.select("__key").distinct())
+    return docs.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, "__key", "left_anti").drop("__key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
     trusted = docs.select("__key", "doc_id").join(labels, "doc_id", "left_semi").select("__key")
-    return _kept(docs, quality_classifier(docs, trusted, id_col="__key").where("kept"))
+    return _without(docs, quality_classifier(docs, trusted, id_col="__key").where("not kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _keyed(docs)
-    first = jaccard_components(docs, WIDTH, *SIMILAR, id_col="__key").where("__key = component_id")
-    if not first.groupBy("__key").count().where("count > 1").isEmpty():  # equal rows
+    groups = written(jaccard_components(docs, WIDTH, *SIMILAR, id_col="__key"))
+    if not groups.groupBy("__key").count().where("count > 1").isEmpty():  # equal rows
         docs = docs.dropDuplicates(["__key"])
-    return _kept(docs, first)
+    return _without(docs, groups.where("__key <> component_id"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _keyed(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _kept(docs, decontaminate(docs, items, width=10, id_col="__key").where("not contaminated"))
+    return _without(docs, decontaminate(docs, items, width=10, id_col="__key").where("contaminated"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
