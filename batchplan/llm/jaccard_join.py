@@ -29,7 +29,7 @@ from batchplan.llm.spark_io import settled, written
 _U = np.uint64
 #: Rows of signatures that a task sorts at a time, and members of one bucket among them beyond which they are dealt apart.
 BUFFER, CROWD, SALTS = 1_500_000, 64, 64
-#: Bytes of a set's parity bitmap, and members of a hub up to which its buckets are compared pair by pair instead of by differences.
+#: Least bytes of a set's parity bitmap, and members of a hub up to which its buckets are compared pair by pair instead of by differences.
 BITMAP, PAIRWISE = 256, 40
 #: Ids of candidate documents, and pairs (some 60 bytes each), are sent to every task up to so many; beyond it text and sets are shuffled.
 MOST_BROADCAST, MOST_PAIRS = 1_000_000, 300_000
@@ -101,11 +101,26 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def _bitmap(s: np.ndarray) -> bytes:
-    """One bit for each token, flipped by it: two sets differ in at least as many tokens as their bitmaps in bits."""
-    hits = np.bincount((mix(s ^ _U(0x2545F491)) % _U(8 * BITMAP)).astype(np.int64), minlength=8 * BITMAP)
+    """One bit for each token, flipped by it: two sets differ in at least as many tokens as their bitmaps in bits.
+
+    Four bits or more for each token, so that unrelated sets of any size differ in more bits than linked ones may.
+    """
+    size = BITMAP
+    while 2 * size < len(s):
+        size *= 2
+    hits = np.bincount((mix(s ^ _U(0x2545F491)) % _U(8 * size)).astype(np.int64), minlength=8 * size)
     return np.packbits((hits & 1).astype(bool)).tobytes()
 
 
+def _apart_by(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer folded to the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def _batch(schema: str, *columns) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
     names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
@@ -125,11 +140,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(b.num_rows, BITMAP) for k in (2, 3))
-                most = (b.column(4).to_numpy() + b.column(5).to_numpy()) * (den - num) // (den + num)
-                ok = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= most
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
+            most = (b.column(4).to_numpy() + b.column(5).to_numpy()) * (den - num) // (den + num)
+            ok = [_apart_by(x, y) <= m for x, y, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), most.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = pairs.select("a", "b").join(sets.select(*sides[0]), "a").join(sets.select(*sides[1]), "b")
     pairs = written(pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(near, EDGE))

@@ -55,10 +55,12 @@ def test_shingles_in_chunks(monkeypatch):
 
 def test_bitmaps_bound_differences():
     rng = np.random.default_rng(4)
-    for n in (3, 200, 6000):
-        a, b = (np.unique(rng.integers(0, 2 * n, n).astype(np.uint64)) for _ in range(2))
-        x, y = (np.frombuffer(module._bitmap(s), np.uint8) for s in (a, b))
-        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+    sets = [np.unique(rng.integers(0, 2 * n, n).astype(np.uint64)) for n in (3, 200, 900, 6000, 20_000)]
+    for a in sets:
+        for b in sets:
+            assert module._apart_by(module._bitmap(a), module._bitmap(b)) <= len(np.setxor1d(a, b))
+    big = [np.unique(rng.integers(0, 1 << 60, 9000).astype(np.uint64)) for _ in range(2)]
+    assert module._apart_by(*map(module._bitmap, big)) > sum(map(len, big)) // 9  # unrelated sets are told apart
 
 
 def test_allocation():
