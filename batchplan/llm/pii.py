@@ -1,7 +1,7 @@
 """Personal data: patterned entities, and the terms that give them away, in DataFrame operations only.
 
 Base spans (email, ip, card, phone) are found in each row. Around them, terms are counted with the entity they stand
-beside: n(t, e) over distinct contexts, and only of entities whose contexts vary where they touch the entity, so neither
+beside: n(t, e) over distinct contexts. Support counts those of them that are no near copies of another, so neither
 copies nor near copies are evidence. Of a term with enough support, the share
 P(e|t) = n(t, e) / n(t), with n(t) over the distinct texts of the whole corpus, says how surely the term reveals the
 entity, and log2(P(e|t) / P(e)) how many bits it discloses. Terms above both thresholds become spans of kind
@@ -39,13 +39,13 @@ MOST_BROADCAST = 200_000
 
 @dataclass(frozen=True)
 class Disclosure:
-    """Thresholds: characters of context on either side; contexts that a term and an entity must share, and so many pairs of
-    neighbouring words that the entity must have; variety, the least share of such pairs among its contexts; share and
-    bits above which a term discloses; share from which it is removed."""
+    """Thresholds: characters of context on either side; contexts that a term and an entity must share, near copies
+    counted once; own, the least share of a context's words that stand in under half of the entity's contexts, under which it is
+    a near copy of the others; share and bits above which a term discloses; share from which it is removed."""
 
     context: int = 100
     support: int = 3
-    variety: float = 0.5
+    own: float = 0.2
     share: float = 0.5
     bits: float = 4.0
     remove: float = 0.9
@@ -100,12 +100,20 @@ def disclosing_terms(rows: DataFrame, limits: Disclosure) -> DataFrame:
     spans = F.concat(*(F.transform(F.col(k), named(k)) for k in PATTERNS))
     around = rows.select("h", "text", F.explode(spans).alias("s")).select("s.entity", "h", F.substring("text", F.greatest(F.col("s.start") - limits.context, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(limits.context))).alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(limits.context)).alias("after"))
     contexts = settled(around.groupBy("entity", "before", "after").agg(F.min("h").alias("h")))
-    sides = F.struct(F.try_element_at(words(F.col("before")), F.lit(-1)).alias("l"), F.try_element_at(words(F.col("after")), F.lit(1)).alias("r"))
-    entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e"), F.count_distinct(sides).alias("pairs"))
-    entities = entities.where((F.col("pairs") >= limits.support) & (F.col("pairs") >= limits.variety * F.col("n_e"))).select("entity", "n_e")
-    near = contexts.select("entity", "h", F.explode(F.array_distinct(F.transform(F.concat(words(F.col("before")), words(F.col("after"))), lowered))).alias("word"))
-    near = near.where((F.length("word") >= 4) & ~F.col("word").rlike("[0-9]"))
-    met = near.groupBy("entity", "word").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= limits.support)
+    contexts = contexts.withColumn("words", F.array_distinct(F.transform(F.concat(words(F.col("before")), words(F.col("after"))), lowered)))
+    entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= limits.support)
+    # Fewer contexts cannot lend any term its support. An entity has at most twice as many usual words as a context has words.
+    held = contexts.join(entities, "entity")
+    usual = held.select("entity", "n_e", F.explode("words").alias("word")).groupBy("entity", "n_e", "word").agg(F.count("*").alias("n")).where(2 * F.col("n") >= F.col("n_e"))
+    usual = usual.groupBy("entity").agg(F.collect_list("word").alias("usual"))
+    owned = held.join(usual, "entity", "left").withColumn("rare", F.array_except("words", F.coalesce("usual", F.array().cast("array<string>"))))
+    # Near copies share a sketch: none if nearly all their words are usual, else the two smallest hashes of the others.
+    sketch = F.when(F.size("rare") >= F.greatest(F.lit(1.0), limits.own * F.size("words")), F.slice(F.array_sort(F.transform("rare", lambda w: F.xxhash64(w))), 1, 2))
+    seen = owned.select("entity", F.xxhash64(sketch).alias("sketch"), F.explode("words").alias("word"))
+    near = contexts.select("entity", "h", F.explode("words").alias("word"))
+    near, seen = (f.where((F.length("word") >= 4) & ~F.col("word").rlike("[0-9]")) for f in (near, seen))
+    met = seen.groupBy("entity", "word", "sketch").agg(F.count("*").alias("n")).groupBy("entity", "word").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_own"))
+    met = met.where(F.col("n_own") >= limits.support).drop("n_own")
     # The texts whose contexts hold the term are among those that hold it: a share too low here needs no look at the corpus.
     least = near.groupBy("word", "h").agg(F.lit(1).alias("x")).groupBy("word").agg(F.count("*").alias("n_c"))
     pairs = settled(met.join(least, "word").where(F.col("n_te") >= limits.share * F.col("n_c")).join(entities, "entity").select("entity", "word", "n_te", "n_e"))

@@ -68,3 +68,17 @@ def test_sanitise_overlaps(spark):
     frame = spark.createDataFrame([(1, "call +1 555 123 4567 x", 5), (2, "é 4111 1111 1111 1111", 6), (3, None, 7), (4, "ip 1.2.3.4, 5.6.7.8.", 8)], "doc_id long, text string, n long")
     got = {r.doc_id: (r.text, r.n) for r in module.sanitise(frame).collect()}
     assert got == {1: ("call <PHONE> x", 5), 2: ("é <CARD>", 6), 3: (None, 7), 4: ("ip <IP>, <IP>.", 8)}
+
+
+def spelled(k, n=6):
+    return "".join("abcdefghij"[int(c)] for c in f"{k:0{n}d}")
+
+
+def test_terms_in_one_phrase_and_of_hot_entities(spark):
+    """The words that touch the entity may always be the same, and be few for its many contexts; near copies are no evidence."""
+    filler = lambda k: " ".join(spelled(13 * k + j) for j in range(1, 7))
+    data = [(k, f"{filler(k)} Contact Jane Zorblatt at x@y.com today {filler(k + 500)}") for k in range(0, 300, 7)]
+    data += [(1000 + k, f"{spelled(k)} near copies of unique quagga stand here at q@q.qq but that is no evidence at all") for k in range(40)]
+    data += [(2000 + k, f"nothing here {filler(k + 5000)}") for k in range(400)] + [(9000, "only Zorblatt"), (9001, "only quagga")]
+    got = {r.doc_id: r.n_term for r in module.pii_report(spark.createDataFrame(data, "doc_id long, text string"), module.Disclosure(bits=1.0)).collect()}
+    assert got[9000] == 1 and got[0] > 0 and got[9001] == 0
