@@ -91,6 +91,11 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: _matches(text, p, text.contains(_NEEDS[k]) if k in _NEEDS else digits[k], _VALID[k]) for k, p in PATTERNS.items()}
 
 
+def _whole(text: Column, cut: Column, at_end: bool) -> Column:
+    """The text without the word, or else the one character, at the end (or the start) where it is cut."""
+    return F.when(cut, F.regexp_replace(text, rf"(?:{_WORD}|(?s:.))\z" if at_end else rf"\A(?:{_WORD}|(?s:.))", "")).otherwise(text)
+
+
 def disclosing_terms(rows: DataFrame, limits: Disclosure) -> DataFrame:
     """(word, entity, share, bits, action) of the terms that disclose an entity, settled; rows has h, text and a column of spans for each kind.
 
@@ -98,7 +103,12 @@ def disclosing_terms(rows: DataFrame, limits: Disclosure) -> DataFrame:
     """
     named = lambda k: lambda s: F.struct(F.concat(F.lit(f"{k}:"), F.lower(s.value)).alias("entity"), s.start.alias("start"), s.end.alias("end"))
     spans = F.concat(*(F.transform(F.col(k), named(k)) for k in PATTERNS))
-    around = rows.select("h", "text", F.explode(spans).alias("s")).select("s.entity", "h", F.substring("text", F.greatest(F.col("s.start") - limits.context, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(limits.context))).alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(limits.context)).alias("after"))
+    # One character more than asked for tells whether a word goes on beyond the context. A word that runs into the entity is none of the text's.
+    around = rows.select("h", "text", F.explode(spans).alias("s")).select("s.entity", "h", "s.start", F.substring("text", F.greatest(F.col("s.start") - limits.context - 1, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(limits.context + 1))).alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(limits.context + 1)).alias("after"))
+    value = F.regexp_replace("entity", r"\A[a-z]+:", "")
+    before = F.when(value.rlike(rf"\A{_WORD}"), F.regexp_replace("before", rf"{_WORD}\z", "")).otherwise(F.col("before"))
+    after = F.when(value.rlike(rf"{_WORD}\z"), F.regexp_replace("after", rf"\A{_WORD}", "")).otherwise(F.col("after"))
+    around = around.select("entity", "h", _whole(before, F.length("before") > limits.context, False).alias("before"), _whole(after, F.length("after") > limits.context, True).alias("after"))
     contexts = settled(around.groupBy("entity", "before", "after").agg(F.min("h").alias("h")))
     contexts = contexts.withColumn("words", F.array_distinct(F.transform(F.concat(words(F.col("before")), words(F.col("after"))), lowered)))
     entities = contexts.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= limits.support)

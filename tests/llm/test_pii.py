@@ -82,3 +82,15 @@ def test_terms_in_one_phrase_and_of_hot_entities(spark):
     data += [(2000 + k, f"nothing here {filler(k + 5000)}") for k in range(400)] + [(9000, "only Zorblatt"), (9001, "only quagga")]
     got = {r.doc_id: r.n_term for r in module.pii_report(spark.createDataFrame(data, "doc_id long, text string"), module.Disclosure(bits=1.0)).collect()}
     assert got[9000] == 1 and got[0] > 0 and got[9001] == 0
+
+
+def test_fragments_at_the_edges_are_no_words(spark):
+    """'port' discloses the entity; contexts that begin inside 'support', or words that run into an entity, say nothing about it."""
+    pad = lambda k, n: " ".join(spelled(97 * k + j, 5) for j in range(1, 40))[:n]
+    data = [(k, f"{spelled(k)} {pad(k, 30)} port {pad(k + 50, 30)} a@b.cc {pad(k + 99, 30)}") for k in range(3)] + [(3, "a port alone")]
+    # 'port' are the first four of the 100 characters before the address
+    data += [(10 + k, f"{pad(k + 200, 20)} support {pad(k + 300, 94)} a@b.cc {pad(k + 400, 30)}") for k in range(4)]
+    data += [(30 + k, f"{pad(k + 600, 40)} a@b.cc") for k in range(2)] + [(40 + k, f"nothing {pad(k + 700, 50)}") for k in range(80)]
+    assert all(t[t.index("a@b.cc") - 100 :].startswith("port ") for d, t in data if 10 <= d < 20)
+    got = {r.doc_id: r.n_term for r in module.pii_report(spark.createDataFrame(data, "doc_id long, text string"), module.Disclosure(bits=1.0)).collect()}
+    assert got[3] == 1
