@@ -99,7 +99,7 @@ def _whole(text: Column, cut: Column, at_end: bool) -> Column:
 def disclosing_terms(rows: DataFrame, limits: Disclosure) -> DataFrame:
     """(word, entity, share, bits, action) of the terms that disclose an entity, settled; rows has h, text and a column of spans for each kind.
 
-    Terms are words of four letters or more without digits, A-Z lower-cased.
+    Terms are words of any length, A-Z lower-cased; which of them disclose is left to support, share and bits.
     """
     named = lambda k: lambda s: F.struct(F.concat(F.lit(f"{k}:"), F.lower(s.value)).alias("entity"), s.start.alias("start"), s.end.alias("end"))
     spans = F.concat(*(F.transform(F.col(k), named(k)) for k in PATTERNS))
@@ -121,7 +121,6 @@ def disclosing_terms(rows: DataFrame, limits: Disclosure) -> DataFrame:
     sketch = F.when(F.size("rare") >= F.greatest(F.lit(1.0), limits.own * F.size("words")), F.slice(F.array_sort(F.transform("rare", lambda w: F.xxhash64(w))), 1, 2))
     seen = owned.select("entity", F.xxhash64(sketch).alias("sketch"), F.explode("words").alias("word"))
     near = contexts.select("entity", "h", F.explode("words").alias("word"))
-    near, seen = (f.where((F.length("word") >= 4) & ~F.col("word").rlike("[0-9]")) for f in (near, seen))
     met = seen.groupBy("entity", "word", "sketch").agg(F.count("*").alias("n")).groupBy("entity", "word").agg(F.sum("n").alias("n_te"), F.count("*").alias("n_own"))
     met = met.where(F.col("n_own") >= limits.support).drop("n_own")
     # The texts whose contexts hold the term are among those that hold it: a share too low here needs no look at the corpus.

@@ -94,3 +94,10 @@ def test_fragments_at_the_edges_are_no_words(spark):
     assert all(t[t.index("a@b.cc") - 100 :].startswith("port ") for d, t in data if 10 <= d < 20)
     got = {r.doc_id: r.n_term for r in module.pii_report(spark.createDataFrame(data, "doc_id long, text string"), module.Disclosure(bits=1.0)).collect()}
     assert got[3] == 1
+
+
+def test_short_terms_and_account_names(spark):
+    data = [(k, f"{spelled(31 * k)} {spelled(37 * k + 5)} {spelled(41 * k + 7)} Li or jdoe42 or \u738b\u4f1f at li@corp.example {spelled(43 * k + 9)} {spelled(47 * k + 11)}") for k in range(1, 9)]
+    data += [(100 + k, f"{spelled(k + 7000)} or at") for k in range(200)] + [(900, "Li"), (901, "jdoe42"), (902, "\u738b\u4f1f"), (903, "or at")]
+    got = {r.doc_id: r.n_term for r in module.pii_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(900, 904)] == [1, 1, 1, 0]
