@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,33 +88,35 @@ def range_weight(target: Column, ranges: list[tuple[float, float, float]], defau
 
 def cut(value: Column, breaks: list[float], labels: list[str]) -> Column:
     """Right-closed buckets: labels[i] up to and with breaks[i], the last label beyond."""
-    out = F.lit(labels[-1])
-    for b, label in list(zip(breaks, labels, strict=False))[::-1]:
-        out = F.when(value <= b, F.lit(label)).otherwise(out)
-    return out
+    out = None  # one flat CASE, as nested ones of hundreds of breaks are too deep
+    for b, label in zip(breaks, labels, strict=False):
+        out = (F if out is None else out).when(value <= b, F.lit(label))
+    return F.lit(labels[-1]) if out is None else out.otherwise(F.lit(labels[-1]))
 
 
-def adaptive_breaks(frame: DataFrame, target: str, most: int = 1500, rounds: int = 64) -> list[float]:
-    """Upper bounds of buckets: the fullest one is halved until none holds `most` rows or it cannot be halved.
+def adaptive_breaks(frame: DataFrame, target: str, most: int = 1500) -> list[float]:
+    """Upper bounds of buckets: each one with `most` rows or more is halved, until none is left but those of a single value.
 
-    The data are aggregated once to counts of values rounded to 5 digits; the bisecting works on those.
+    The data are aggregated once to counts of values rounded up to 5 digits, which fall into the same buckets; the bisecting works on those.
     """
-    counts = {r.v: r.n for r in frame.where(F.col(target).isNotNull()).groupBy(F.round(target, 5).alias("v")).agg(F.count("*").alias("n")).collect()}
+    near = F.round(F.col(target).cast("double") * 1e5)
+    step = (near + F.when(F.col(target) > near / 1e5, 1).otherwise(0)).cast("long")
+    counts = {r.v / 1e5: r.n for r in frame.where(F.col(target).isNotNull()).groupBy(step.alias("v")).agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    breaks = sorted({round(min(counts), 4), round(max(counts), 4) + 1e-4})
-    for _ in range(rounds):
-        held = [0] * (len(breaks) + 1)
-        for v, n in counts.items():
-            held[sum(v > b for b in breaks)] += n
-        k = max(range(len(held)), key=held.__getitem__)
-        if held[k] < most or not 0 < k < len(breaks):
-            break
-        middle = round((breaks[k - 1] + breaks[k]) / 2, 5)
-        if middle in breaks:
-            break
-        breaks = sorted({*breaks, middle})
-    return breaks
+    values = sorted(counts)
+    rows = [0, *accumulate(counts[v] for v in values)]
+    breaks = sorted({round(values[0], 4), round(values[-1], 4) + 1e-4})
+    todo = list(zip([round(values[0] - 1e-5, 5), *breaks], breaks, strict=False))
+    while todo:
+        low, high = todo.pop()
+        first, end = bisect_right(values, low), bisect_right(values, high)
+        middle = round((low + high) / 2, 5)
+        if rows[end] - rows[first] < most or end - first < 2 or not low < middle < high:
+            continue
+        breaks.append(middle)
+        todo += [(low, middle), (middle, high)]
+    return sorted(breaks)
 
 
 def stratified_split(frame: DataFrame, strata: list[str], id_col: str, share: float = 0.1, seed: int = 21) -> DataFrame:

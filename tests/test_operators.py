@@ -207,3 +207,14 @@ def test_streams(spark, tmp_path, sf_dir):
     q = length_profile(timed, "at", "text").writeStream.format("memory").queryName("profile").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(n) from profile").first()[0] == 60
+
+
+def test_adaptive_breaks_leave_no_splittable_bucket(spark):
+    """Neither a number of rounds nor one hot value ends the halving."""
+    rng = np.random.default_rng(5)
+    smooth, hot = rng.normal(0.5, 0.1, 20_000).tolist(), [1.5] * 5000
+    breaks = offline.adaptive_breaks(spark.createDataFrame([(v,) for v in smooth + hot], "v double"), "v", 100)
+    held = {}
+    for v in smooth + hot:
+        held.setdefault(int(np.searchsorted(breaks, v)), []).append(v)
+    assert len(breaks) > 200 and all(len(h) < 100 or set(h) == {1.5} for h in held.values())
