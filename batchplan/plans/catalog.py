@@ -225,6 +225,19 @@ def ratio_features(spark, d):
     return rows.select("pos", "batch_size_y", *(F.round(f"{r}_diff", 6).alias(f"{r}_diff") for r in features.RATIOS))
 
 
+@_query()
+def candidate_features_all(spark, d):
+    """The operator's whole job: every position and every candidate of the grid."""
+    return features.candidate_features(_ranked(spark, d), GRID)
+
+
+@_query()
+def ratio_features_all(spark, d):
+    ranked = _ranked(spark, d)
+    rows = features.ratio_features(features.candidate_features(ranked, GRID), features.baseline_features(ranked, B))
+    return rows.select("pos", "batch_size_y", *(f"{r}_diff" for r in features.RATIOS))
+
+
 @_query(f"WITH {_walk_cte()} SELECT CAST(pos AS BIGINT) AS pos, CAST(coalesce(max(CASE WHEN ratio <= {THRESHOLD} THEN c END), {B}) AS BIGINT) AS size FROM (SELECT p.pos, c, (coalesce(e.before, t.total) - p.before) / CAST(base.s AS DOUBLE) AS ratio FROM s p JOIN t ON t.k = p.k JOIN base ON base.k = p.k CROSS JOIN grid LEFT JOIN s e ON e.pos = p.pos + c) GROUP BY pos")
 def optimal_size_by_position(spark, d):
     ranked = _ranked(spark, d)
