@@ -5,11 +5,13 @@ tokens is hashed into m segments, x of which also index their one-deletion neigh
 most H tokens, so with m + x > H some plain segment is equal or some neighbourhood segment differs by at most one token. m and x are chosen
 for each band by cost: rows to index against unrelated sets expected to meet in empty segments.
 
-Only components are asked for, so the sets that meet in a segment are not all paired. Equal sets are one class. Each bucket's
-members are verified against its hub, the member that meets most others; what is still apart is verified once more against a
-second hub. Two members x, y that remain apart have known differences D from the hub, and |x ^ y| = |Dx ^ Dy|, so they can link only if
-Dx and Dy overlap by a computable least number of tokens: a prefix join on the differences finds every such pair, and these
-are verified exactly. Nothing is capped.
+Only components are asked for, so the sets that meet in a segment are not all compared. Equal sets are one class. Each member is
+first verified against the heaviest of its hubs, the members of its buckets that meet most others. Of what that leaves in different
+components, the members of an ordinary bucket are paired; sets of their sizes that link meet in a known least number of segments,
+which most pairs that met by chance do not reach, and bitmaps refuse nearly all others before any set is sent. The members
+of a large bucket are verified against every hub, then against a second one. Two members x, y that remain apart have known differences
+D from the hub, and |x ^ y| = |Dx ^ Dy|, so they can link only if Dx and Dy overlap by a computable least number of tokens: a prefix
+join on the differences finds every such pair, and these are verified exactly. So a bucket costs its size times a constant, whatever its size. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from batchplan.llm.spark_io import settled, written
 _U = np.uint64
 #: Rows of signatures that a task sorts at a time, and members of one bucket among them beyond which they are dealt apart.
 BUFFER, CROWD, SALTS = 1_500_000, 64, 64
-#: Least bytes of a set's parity bitmap, and members of a hub up to which its buckets are compared pair by pair instead of by differences.
-BITMAP, PAIRWISE = 256, 40
+#: Least bytes of a set's parity bitmap, and members of a bucket up to which it is compared pair by pair instead of by differences.
+BITMAP, PAIRWISE = 256, 32
 #: Ids of candidate documents, and pairs (some 60 bytes each), are sent to every task up to so many; beyond it text and sets are shuffled.
 MOST_BROADCAST, MOST_PAIRS = 1_000_000, 300_000
 
@@ -131,7 +133,7 @@ SETS = "doc_id long, n long, hi long, cid binary"
 SIGNED = "sig long, k long, own long"
 KEPT = "cid binary, n long, bits binary, tokens binary"
 EDGE = "a binary, b binary"
-TOKENS = "hub binary, x binary, n long, d long, inside boolean, token long"
+TOKENS = "hub binary, x binary, root binary, n long, d long, inside boolean, token long"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -272,11 +274,12 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
     weights = members.join(buckets.groupBy("sig").agg(F.count("*").alias("n")), "sig").groupBy("k").agg(F.sum("n").alias("w"))
     keys = classes.select(F.col("hi").alias("k"), "cid", "n")
     members = written(members.join(weights, "k").join(keys, "k").select("sig", "cid", "n", "w"))
-    heaviest = lambda rows: rows.groupBy("sig").agg(F.max_by(F.struct("cid", "n", "w"), F.struct("w", "cid")).alias("hub"))
+    hubs = members.groupBy("sig").agg(F.max_by(F.struct("cid", "n", "w"), F.struct("w", "cid")).alias("hub"), F.count("*").alias("size"))
     able = F.least("n", "hub.n") * den >= F.greatest("n", "hub.n") * num
-    starred = written(members.join(heaviest(members), "sig").where(F.col("cid") != F.col("hub.cid")).groupBy(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).agg(F.max(able.cast("int")).alias("able"), F.max("hub.w").alias("w")))
+    met_hub = members.join(hubs, "sig").where((F.col("cid") != F.col("hub.cid")) & able)
+    starred = written(met_hub.groupBy(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).agg(F.max("hub.w").alias("w"), F.max((F.col("size") > PAIRWISE).cast("int")).alias("large")))
 
-    wanted = settled(starred.select(F.col("a").alias("cid")).unionByName(starred.select(F.col("b").alias("cid"))).distinct())
+    wanted = settled(members.select("cid").distinct())
     reps = wanted.join(classes, "cid").select(F.col("rep").alias("id"), "cid")
     count = wanted.count()
 
@@ -289,17 +292,29 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
     own = text.join(F.broadcast(ids) if count <= MOST_BROADCAST else ids, text["id"].eqNullSafe(ids["id"]), "left_semi")
     sets = written(own.mapInArrow(again, KEPT).join(F.broadcast(wanted) if count <= MOST_BROADCAST else wanted, "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens")))
 
-    # Each member first meets the heaviest of its hubs; others only those that this leaves in another component.
-    heavy = starred.where("able = 1").groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
+    # Each member first meets the heaviest of its hubs, then in ordinary buckets the members of other components.
+    heavy = starred.groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
     links = settled(_verified(heavy, sets, num, den))
     roots = settled(components(links))
-    more = _rooted(_rooted(starred.where("able = 1"), "a", roots, "ra"), "b", roots, "rb").where("ra <> rb")
+    rows = written(_rooted(members.join(hubs.select("sig", "size"), "sig"), "cid", roots, "root"))
+    pairs = _ordinary_pairs(rows.where(F.col("size") <= PAIRWISE), first, schemes, num, den)
+    links = settled(links.unionByName(_verified(pairs, sets, num, den)))
+    # Large buckets: all hubs, a second hub for what their hub's component has not taken in, and differences for the rest.
+    members = members.join(hubs.where(F.col("size") > PAIRWISE).select("sig"), "sig", "left_semi")
+    if members.isEmpty():
+        return links
+    roots = settled(components(links))
+    members = written(members)
+    starred = starred.where("large = 1").select("a", "b")
+    more = _rooted(_rooted(starred, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb")
     links = settled(links.unionByName(_verified(more, sets, num, den)))
-    # A second hub for the members that their hub's component has not taken in.
-    apart = _apart(members, starred, links)
-    second = apart.join(heaviest(apart.select("sig", "cid", "n", "w")), "sig").where((F.col("cid") != F.col("hub.cid")) & able).select(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).distinct()
+    heaviest = lambda rows: rows.groupBy("sig").agg(F.max_by(F.struct("cid", "n", "w"), F.struct("w", "cid")).alias("hub"))
+    apart = _apart(members, links)
+    second = apart.join(heaviest(apart), "sig").where((F.col("cid") != F.col("hub.cid")) & able).select(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).distinct()
     links = settled(links.unionByName(_verified(second, sets, num, den)))
-    rest = written(_apart_pairs(members, heaviest(members), starred, links, sets, num, den))
+    roots = settled(components(links))
+    rows = members.join(hubs, "sig").where(F.col("cid") != F.col("hub.cid")).select(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).distinct()
+    rest = written(_by_difference(_rooted(_rooted(rows, "a", roots, "ra"), "b", roots, "rb"), sets, num, den))
     return links.unionByName(_verified(rest, sets, num, den))
 
 
@@ -308,7 +323,30 @@ def _rooted(frame: DataFrame, column: str, roots: DataFrame, name: str) -> DataF
     return frame.join(r, F.col(column) == F.col("__node"), "left").withColumn(name, F.coalesce("__root", column)).drop("__node", "__root")
 
 
-def _apart(members: DataFrame, starred: DataFrame, links: DataFrame) -> DataFrame:
+def _ordinary_pairs(rows: DataFrame, first: list[int], schemes: dict[int, tuple[int, int, int]], num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that meet in as many buckets as sets of their sizes must if they link; rows: (sig, cid, n, root).
+
+    Sets that link differ in at most H tokens, so of a scheme's m segments at least m - H are equal, and at most e of these are
+    empty and unsigned. Two sets share the scheme of the larger one's band and, within one band, the next one if both sign it.
+    Schemes with neighbourhoods count for nothing; one bucket is always asked for.
+    """
+    split = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    rows = rows.join(split, "sig")
+    p, q = rows.alias("p"), rows.alias("q")
+    able = F.least("p.n", "q.n") * den >= F.greatest("p.n", "q.n") * num
+    met = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.cid") < F.col("q.cid")) & (F.col("p.root") != F.col("q.root")) & able)
+    met = met.groupBy(F.col("p.cid").alias("a"), F.col("q.cid").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("p.n", "q.n")).alias("less"), F.min(F.greatest("p.n", "q.n")).alias("more"))
+    plain = F.array(*(F.lit(m - e if m and not x else 0) for m, x, e in (schemes.get(j, (0, 0, 0)) for j in range(len(first) + 1))))
+    starts = F.array(*(F.lit(f) for f in first))
+    band = lambda n: F.size(F.filter(starts, lambda f: f <= n))  # noqa: E731  from 1
+    differ = F.floor((F.col("less") + F.col("more")) * (den - num) / (den + num))
+    asked = lambda j: F.greatest(F.lit(0), F.element_at(plain, j) - differ)
+    signs = F.floor(F.col("less") * den / num) >= F.try_element_at(starts, band(F.col("more")) + 1)
+    both = F.when((band(F.col("less")) == band(F.col("more"))) & signs, asked(band(F.col("more")) + 1)).otherwise(0)
+    return met.where(F.col("times") >= F.greatest(F.lit(1), asked(band(F.col("more"))) + both)).select("a", "b")
+
+
+def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members of buckets that hold several components, without those of the hub's."""
     roots = settled(components(links))
     rows = _rooted(members, "cid", roots, "root")
@@ -316,34 +354,18 @@ def _apart(members: DataFrame, starred: DataFrame, links: DataFrame) -> DataFram
     return rows.join(hubs, "sig").where("root <> most").select("sig", "cid", "n", "w")
 
 
-def _apart_pairs(members: DataFrame, hubs: DataFrame, starred: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of members of one bucket but different components, without those of the hub itself.
-
-    Of hubs with few members, by bucket; of others, by differences from the hub.
-    """
-    roots = settled(components(links))
-    rows = _rooted(_rooted(starred.select("a", "b"), "a", roots, "ra"), "b", roots, "rb")
-    wide = rows.groupBy("b").agg(F.max((F.col("ra") != F.col("rb")).cast("int")).alias("open"), F.count("*").alias("k")).where("open = 1")
-    wide = settled(wide.select("b", (F.col("k") > PAIRWISE).alias("large")))
-    own = members.join(hubs.select("sig", F.col("hub.cid").alias("b")), "sig").join(wide.where("not large").select("b"), "b").where(F.col("cid") != F.col("b"))
-    own = _rooted(own.select("sig", "cid", "n"), "cid", roots, "root")
-    p, q = own.alias("p"), own.alias("q")
-    able = F.least("p.n", "q.n") * den >= F.greatest("p.n", "q.n") * num
-    few = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.root") < F.col("q.root")) & able).select(F.col("p.cid").alias("a"), F.col("q.cid").alias("b"))
-    rows = rows.join(wide.where("large").select("b"), "b").select("a", "b", "ra", (F.col("ra") == F.col("rb")).alias("inside"))
-    return few.distinct().unionByName(_by_difference(rows, roots, sets, num, den)).distinct()
-
-
-def _by_difference(rows: DataFrame, roots: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components that may link, by their differences from a common hub; rows: (a, b, inside), members with their hub."""
+def _by_difference(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that may link, by their differences from a common hub; rows: (a, b, ra, rb), members with their hub and the components of both."""
+    wide = rows.groupBy("b").agg(F.max((F.col("ra") != F.col("rb")).cast("int")).alias("open")).where("open = 1").select("b")
+    rows = rows.join(wide, "b").select("a", "b", F.col("ra").alias("root"), (F.col("ra") == F.col("rb")).alias("inside"))
     left, right = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t"))
     most = lambda n, p: (n + p) * (den - num) // (den + num)  # noqa: E731  tokens by which linked sets of these sizes may differ
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each member's difference from the hub, what the hub lacks first: the prefix that any partner must share, and a row without token for the sizes."""
         for b in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for x, hub, inside, s, t in zip(*b.columns, strict=True):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for x, hub, root, inside, s, t in zip(*b.columns, strict=True):
                 s, t = np.frombuffer(s.as_buffer(), _U), np.frombuffer(t.as_buffer(), _U)
                 d = np.concatenate((np.setdiff1d(s, t, True), np.setdiff1d(t, s, True)))
                 n, high = len(s), most(len(s), len(s) * den // num)
@@ -351,13 +373,12 @@ def _by_difference(rows: DataFrame, roots: DataFrame, sets: DataFrame, num: int,
                 if inside.as_py():  # partners are not linked to the hub
                     least = max(least, -(-(len(d) + most(-(-len(s) * num // den), len(t)) + 1 - high) // 2))
                 prefix = d[: len(d) - max(1, least) + 1]
-                for c, v in zip(out, (hub.as_py(), x.as_py(), n, len(d), inside.as_py()), strict=False):
+                for c, v in zip(out, (hub.as_py(), x.as_py(), root.as_py(), n, len(d), inside.as_py()), strict=False):
                     c.extend([v] * (len(prefix) + 1))
-                out[5].extend([*prefix.astype(np.int64).tolist(), None])
+                out[6].extend([*prefix.astype(np.int64).tolist(), None])
             yield _batch(TOKENS, *out)
 
-    tokens = written(rows.join(left, "a").join(right, "b").select("a", "b", "inside", "s", "t").mapInArrow(differ, TOKENS))
-    tokens = _rooted(tokens, "x", roots, "root")
+    tokens = written(rows.join(left, "a").join(right, "b").select("a", "b", "root", "inside", "s", "t").mapInArrow(differ, TOKENS))
     shared = tokens.where("token is not null")
     often = shared.groupBy("hub", "token").agg(F.count("*").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub", "token")
     shared = shared.join(often, ["hub", "token"])
