@@ -358,27 +358,29 @@ def _by_difference(rows: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     """Pairs (a, b) of different components that may link, by their differences from a common hub; rows: (a, b, ra, rb), members with their hub and the components of both."""
     wide = rows.groupBy("b").agg(F.max((F.col("ra") != F.col("rb")).cast("int")).alias("open")).where("open = 1").select("b")
     rows = rows.join(wide, "b").select("a", "b", F.col("ra").alias("root"), (F.col("ra") == F.col("rb")).alias("inside"))
-    left, right = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t"))
+    held = rows.join(sets.select(F.col("cid").alias("a"), "n"), "a").groupBy("b").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    left, right = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t")).join(held, "b")
     most = lambda n, p: (n + p) * (den - num) // (den + num)  # noqa: E731  tokens by which linked sets of these sizes may differ
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each member's difference from the hub, what the hub lacks first: the prefix that any partner must share, and a row without token for the sizes."""
         for b in batches:
             out: list[list] = [[], [], [], [], [], [], []]
-            for x, hub, root, inside, s, t in zip(*b.columns, strict=True):
+            for x, hub, root, inside, s, t, lo, hi in zip(*b.columns, strict=True):
                 s, t = np.frombuffer(s.as_buffer(), _U), np.frombuffer(t.as_buffer(), _U)
                 d = np.concatenate((np.setdiff1d(s, t, True), np.setdiff1d(t, s, True)))
-                n, high = len(s), most(len(s), len(s) * den // num)
-                least = len(d) - high
+                n = len(s)
+                others = np.arange(max(lo.as_py(), -(-n * num // den)), min(hi.as_py(), n * den // num) + 1)  # sizes of partners
+                least = len(d) - most(n, others[-1])
                 if inside.as_py():  # partners are not linked to the hub
-                    least = max(least, -(-(len(d) + most(-(-len(s) * num // den), len(t)) + 1 - high) // 2))
+                    least = max(least, -(-(len(d) + 1 + int((most(others, len(t)) - most(others, n)).min())) // 2))
                 prefix = d[: len(d) - max(1, least) + 1]
                 for c, v in zip(out, (hub.as_py(), x.as_py(), root.as_py(), n, len(d), inside.as_py()), strict=False):
                     c.extend([v] * (len(prefix) + 1))
                 out[6].extend([*prefix.astype(np.int64).tolist(), None])
             yield _batch(TOKENS, *out)
 
-    tokens = written(rows.join(left, "a").join(right, "b").select("a", "b", "root", "inside", "s", "t").mapInArrow(differ, TOKENS))
+    tokens = written(rows.join(left, "a").join(right, "b").select("a", "b", "root", "inside", "s", "t", "lo", "hi").mapInArrow(differ, TOKENS))
     shared = tokens.where("token is not null")
     often = shared.groupBy("hub", "token").agg(F.count("*").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub", "token")
     shared = shared.join(often, ["hub", "token"])
