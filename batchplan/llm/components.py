@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchplan.llm.spark_io import settled
+from batchplan.llm.spark_io import freeing, settled
 
 
 #: So many edges at most (some 20 MB) go through one task instead of some dozen shuffles.
@@ -35,7 +35,7 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
         if root:
             yield pa.RecordBatch.from_arrays([pa.array(list(root), schema.field(0).type), pa.array([find(n) for n in list(root)], schema.field(0).type)], names=["node", "root"])
 
-    return edges.coalesce(1).mapInArrow(join, f"node {kind}, root {kind}")
+    return edges.coalesce(1).mapInArrow(freeing(join), f"node {kind}, root {kind}")
 
 
 def components(edges: DataFrame) -> DataFrame:

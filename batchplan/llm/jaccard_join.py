@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 
 from batchplan.llm.components import components
 from batchplan.llm.shingles import identity, mix, shingle_set
-from batchplan.llm.spark_io import settled, written
+from batchplan.llm.spark_io import freeing, settled, written
 
 _U = np.uint64
 #: Rows of signatures that a task sorts at a time, and members of one bucket among them beyond which they are dealt apart.
-BUFFER, CROWD, SALTS = 1_500_000, 64, 64
+BUFFER, CROWD, SALTS = 750_000, 64, 64
 #: Least bytes of a set's parity bitmap, and members of a bucket up to which it is compared pair by pair instead of by differences.
 BITMAP, PAIRWISE = 256, 32
 #: Ids of candidate documents, and pairs (some 60 bytes each), are sent to every task up to so many; beyond it text and sets are shuffled.
@@ -147,7 +147,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = pairs.select("a", "b").join(sets.select(*sides[0]), "a").join(sets.select(*sides[1]), "b")
-    pairs = written(pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(near, EDGE))
+    pairs = written(pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(freeing(near), EDGE))
     left, right = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     sent = F.broadcast if pairs.count() <= MOST_PAIRS else lambda x: x
     right = right.join(sent(pairs.select("b").distinct()), "b", "left_semi")
-    return left.join(sent(pairs), "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(test, EDGE)
+    return left.join(sent(pairs), "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(freeing(test), EDGE)
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -176,7 +176,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
             cid = [identity(s) if len(s) else None for s in sets]
             yield _batch(SETS, b.column(0), [len(s) for s in sets], [c and int.from_bytes(c[:8], "little", signed=True) for c in cid], cid)
 
-    measured = written(text.mapInArrow(measure, SETS))
+    measured = written(text.mapInArrow(freeing(measure), SETS))
     classes = settled(measured.where("cid is not null").groupBy("cid", "hi").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     sizes = {r.n: r.c for r in classes.groupBy("n").agg(F.count("*").alias("c")).collect()}  # a row for each size of set
     links = _links(text, classes, sizes, width, num, den) if sizes else None
@@ -265,9 +265,9 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
             far = (own != k) & (own != hubs) & ~repeated
             yield _batch(SIGNED, np.concatenate((sig[keep], sig[far])), np.concatenate((k[keep], k[far])), np.concatenate((hubs[keep], own[far])))
 
-    signed = text.mapInArrow(sign, SIGNED)
+    signed = text.mapInArrow(freeing(sign), SIGNED)
     dealt = signed.repartition(F.xxhash64("sig", F.when(F.col("own") != F.col("k"), F.pmod("k", F.lit(SALTS))).otherwise(-1)))
-    buckets = written(dealt.sortWithinPartitions("sig", "k", "own").mapInArrow(met, SIGNED))
+    buckets = written(dealt.sortWithinPartitions("sig", "k", "own").mapInArrow(freeing(met), SIGNED))
 
     # Hubs: of each bucket the member that meets most others.
     members = buckets.select("sig", "k").unionByName(buckets.select("sig", F.col("own").alias("k"))).distinct()
@@ -290,7 +290,7 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
 
     ids = reps.select("id").distinct()
     own = text.join(F.broadcast(ids) if count <= MOST_BROADCAST else ids, text["id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = written(own.mapInArrow(again, KEPT).join(F.broadcast(wanted) if count <= MOST_BROADCAST else wanted, "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens")))
+    sets = written(own.mapInArrow(freeing(again), KEPT).join(F.broadcast(wanted) if count <= MOST_BROADCAST else wanted, "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens")))
 
     # Each member first meets the heaviest of its hubs, then in ordinary buckets the members of other components.
     heavy = starred.groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
@@ -380,7 +380,7 @@ def _by_difference(rows: DataFrame, sets: DataFrame, num: int, den: int) -> Data
                 out[6].extend([*prefix.astype(np.int64).tolist(), None])
             yield _batch(TOKENS, *out)
 
-    tokens = written(rows.join(left, "a").join(right, "b").select("a", "b", "root", "inside", "s", "t", "lo", "hi").mapInArrow(differ, TOKENS))
+    tokens = written(rows.join(left, "a").join(right, "b").select("a", "b", "root", "inside", "s", "t", "lo", "hi").mapInArrow(freeing(differ), TOKENS))
     shared = tokens.where("token is not null")
     often = shared.groupBy("hub", "token").agg(F.count("*").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub", "token")
     shared = shared.join(often, ["hub", "token"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchplan.llm.spark_io import settled
+from batchplan.llm.spark_io import freeing, settled
 from batchplan.llm.tokens import encoder, in_blocks
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int, *,
                     at += size
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECE).withColumnRenamed("doc_id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(freeing(cut), PIECE).withColumnRenamed("doc_id", id_col)
 
 
 def pack(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = 2048, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,4 +177,4 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = 204
                 seq[own], off[own] = sequences[k] + rank[own] - starts[k], offsets[k]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return rows.mapInArrow(place, f"{PIECE}, sequence_id long, offset long").withColumnRenamed("doc_id", id_col)
+    return rows.mapInArrow(freeing(place), f"{PIECE}, sequence_id long, offset long").withColumnRenamed("doc_id", id_col)

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchplan.llm.spark_io import freeing
+
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_alpha")
 #: In bit order; a new rule is only ever added at the end, so that old ledgers keep their meaning.
 RULES: tuple[tuple[str, str], ...] = (
@@ -80,7 +82,7 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
             columns = zip(*found, strict=True) if found else [[] for _ in MEASURES]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", *MEASURES])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(take, f"id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(freeing(take), f"id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = sum((F.when(F.expr(test), F.lit(1 << k)).otherwise(0) for k, (_, test) in enumerate(RULES)), F.lit(0))
     return rows.withColumn("failed", bits.cast("long")).withColumnRenamed("id", id_col)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchplan.llm.shingles import mix
-from batchplan.llm.spark_io import written
+from batchplan.llm.spark_io import freeing, written
 
 _U = np.uint64
 K = 64  # a power of two
@@ -241,7 +241,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, *, id_col: str = "doc_id",
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["gram", "h1", "h2", "at"])
 
-    found = written(rows.where(F.col("n_bytes") >= length).select("text", "h1", "h2").mapInArrow(find, ANCHOR))
+    found = written(rows.where(F.col("n_bytes") >= length).select("text", "h1", "h2").mapInArrow(freeing(find), ANCHOR))
     found = found.groupBy("gram", "h1", "h2", "at").agg(F.lit(1).alias("one"))  # copies in other tasks
     often = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     candidates = written(found.join(often, "gram").select("gram", "h1", "h2", "at"))
@@ -281,7 +281,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, *, id_col: str = "doc_id",
                     keys, held = {}, 0
         yield from flush()
 
-    made = written(own.mapInArrow(cut, RUNS))
+    made = written(own.mapInArrow(freeing(cut), RUNS))
     runs = made.where("run is not null").select("part", "run")
     placed = made.where("run is null").select("h1", "h2", "p", "gram", "right", "left", "low", "high")
 
@@ -318,7 +318,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, *, id_col: str = "doc_id",
                     d = end + 1
             yield _rows(names, **out)
 
-    steps = written(walks.select("gram", "right", "left", "low", "high", "n", "right_depths", "right_nodes", "left_depths", "left_nodes").mapInArrow(climb, STEP))
+    steps = written(walks.select("gram", "right", "left", "low", "high", "n", "right_depths", "right_nodes", "left_depths", "left_nodes").mapInArrow(freeing(climb), STEP))
     again = steps.groupBy("gram", "u", "v").agg(F.sum("n").alias("total")).where("total > 1").select("gram", "u", "v")
     hit = steps.join(again, ["gram", "u", "v"]).select("gram", "right", "left", F.col("low").alias("from"), F.col("high").alias("to"))
     spans = placed.join(hit, ["gram", "right", "left"]).groupBy("h1", "h2").agg(F.collect_set(F.struct((F.col("p") - F.col("to")).alias("start"), (F.col("p") - F.col("from") + length).alias("end"))).alias("spans"))
@@ -332,7 +332,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, *, id_col: str = "doc_id",
             columns = list(zip(*got, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["g1", "g2", "removed", "runs", "sha"])
 
-    part = body.select(F.col("r.h1").alias("g1"), F.col("r.h2").alias("g2"), "text", "spans.start", "spans.end").mapInArrow(remove, "g1 long, g2 long, removed long, runs long, sha string")
+    part = body.select(F.col("r.h1").alias("g1"), F.col("r.h2").alias("g2"), "text", "spans.start", "spans.end").mapInArrow(freeing(remove), "g1 long, g2 long, removed long, runs long, sha string")
     whole = texts.where("copies > 1").select(F.col("h1").alias("w1"), F.col("h2").alias("w2"))
     base = rows.select("id", "h1", "h2", "n_bytes", F.sha2("text", 256).alias("own"))
     out = base.join(part, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").join(whole, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")), "left")

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from batchplan.llm.spark_io import shared_dir
+from batchplan.llm.spark_io import freeing, shared_dir
 from batchplan.llm.tokens import encoder, in_blocks
 
 
@@ -81,7 +81,7 @@ def write_token_store(docs: DataFrame, vocabulary_path: str, end_id: int, uri: s
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(n)], "n_ids": [total]}, pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     lines, base = [], 0
-    for r in sorted(rows.mapInArrow(write, "shard int, n_docs long, n_ids long").collect()):
+    for r in sorted(rows.mapInArrow(freeing(write), "shard int, n_docs long, n_ids long").collect()):
         lines.append({"shard": r.shard, "n_docs": r.n_docs, "n_ids": r.n_ids, "base": base})
         base += r.n_ids
     store, top = _store(uri)
@@ -139,4 +139,4 @@ def read_token_store(spark: SparkSession, uri: str, *, id_col: str = "doc_id", w
                         out.append(pa.array([flat[a:e].astype(np.int64) for a, e in span], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(out, names=["id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
 
-    return shards.mapInArrow(read, kind).withColumnRenamed("id", id_col)
+    return shards.mapInArrow(freeing(read), kind).withColumnRenamed("id", id_col)
