@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int, *,
                     at += size
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(freeing(cut), PIECE).withColumnRenamed("doc_id", id_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(freeing(cut, hands_on=True), PIECE).withColumnRenamed("doc_id", id_col)
 
 
 def pack(docs: DataFrame, vocabulary_path: str, end_id: int, capacity: int = 2048, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,11 +49,19 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(place)
 
 
-def freeing(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The function over Arrow batches; at the end of a task its worker, which lives on, gives free memory back to the machine."""
+#: Clears what an operator's tasks hand on within a worker, for the tasks of others.
+handed_on: list[Callable[[], None]] = []
+
+
+def freeing(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *, hands_on: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function over Arrow batches. Workers live on: what other operators handed on is cleared first, unless the function uses it, and free memory goes back to the machine at the end."""
 
     @functools.wraps(function)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from batchplan.llm import spark_io  # the worker's own module, not a copy that came with the function
+
+        for clear in () if hands_on else spark_io.handed_on:
+            clear()
         try:
             yield from function(batches)
         finally:

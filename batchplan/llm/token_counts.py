@@ -32,5 +32,5 @@ def token_counts(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id
             n = pa.array([enc.count(t) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), n], names=["id", "n_bytes", "n_tokens"])
 
-    out = rows.mapInArrow(freeing(count), f"id {kind.simpleString()}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(freeing(count, hands_on=True), f"id {kind.simpleString()}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -81,7 +81,7 @@ def write_token_store(docs: DataFrame, vocabulary_path: str, end_id: int, uri: s
         yield pa.RecordBatch.from_pydict({"shard": [shard], "n_docs": [len(n)], "n_ids": [total]}, pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     lines, base = [], 0
-    for r in sorted(rows.mapInArrow(freeing(write), "shard int, n_docs long, n_ids long").collect()):
+    for r in sorted(rows.mapInArrow(freeing(write, hands_on=True), "shard int, n_docs long, n_ids long").collect()):
         lines.append({"shard": r.shard, "n_docs": r.n_docs, "n_ids": r.n_ids, "base": base})
         base += r.n_ids
     store, top = _store(uri)

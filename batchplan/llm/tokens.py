@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from batchplan.llm.spark_io import handed_on
+
 #: Below this code point letters, numbers, case and composed forms are the same in every Unicode version.
 _LATIN_END = "ɐ"
 _LATIN = [chr(c) for c in range(ord(_LATIN_END))]
@@ -187,6 +189,7 @@ class TextEncoder:
 
 
 _loaded: dict[str, TextEncoder] = {}
+handed_on.append(_loaded.clear)
 
 
 def encoder(path: str) -> TextEncoder:

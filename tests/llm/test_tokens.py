@@ -135,3 +135,16 @@ def test_pack(spark):
         assert at <= 64
     assert len(by) <= sum(r.length for r in got) / 64 * 1.1 + 2
     assert pack(spark.createDataFrame([], ROWS), BYTE, 0, 64).collect() == []
+
+
+def test_workers_drop_what_others_handed_on():
+    import pyarrow as pa
+
+    from batchplan.llm import tokens
+    from batchplan.llm.spark_io import freeing
+
+    path = vocabulary("byte_bpe_50k.json")
+    batch = pa.record_batch([pa.array([1])], names=["x"])
+    own = tokens.encoder(path)
+    assert list(freeing(lambda b: b, hands_on=True)(iter([batch]))) == [batch] and tokens.encoder(path) is own
+    assert list(freeing(lambda b: b)(iter([batch]))) == [batch] and tokens.encoder(path) is not own
