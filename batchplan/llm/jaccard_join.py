@@ -234,7 +234,7 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
                 k = int.from_bytes(identity(s)[:8], "little", signed=True)
                 if k in done:  # a copy met before in this task
                     continue
-                if len(done) < 500_000:
+                if len(done) < 200_000:
                     done.add(k)
                 j = int(band_of[len(s)])
                 for scheme in (j, j + 1):

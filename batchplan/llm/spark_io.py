@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import tempfile
@@ -13,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir; one of this machine only if that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{_local()}"
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir. One of this machine only if that is unset and the master is local, else an error."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return place or f"file://{_local()}"
 
 
 _own: list[str] = []
@@ -26,26 +30,38 @@ def _local() -> str:
     return _own[0]
 
 
+@contextlib.contextmanager
+def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """The session's settings while frames are computed here, and as they were afterwards."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Texts go to Python workers in batches of so many bytes, as two copies of a batch are held outside the heap.
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
+_CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The frame written once to the shared folder; later reads do not depend on any executor."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _set(df.sparkSession, _BATCHES):
+        return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """As settled(), as compressed Parquet in the shared folder: for frames of many rows. The shuffle files that led to it go with the write."""
     spark, place = df.sparkSession, f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _set(spark, _BATCHES | _CLEANUP):
         df.write.parquet(place)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(place)
 
 
