@@ -31,8 +31,9 @@ from batchplan.llm.spark_io import freeing, settled, written
 _U = np.uint64
 #: Rows of signatures that a task sorts at a time, and members of one bucket among them beyond which they are dealt apart.
 BUFFER, CROWD, SALTS = 750_000, 64, 64
-#: Least bytes of a set's parity bitmap, and members of a bucket up to which it is compared pair by pair instead of by differences.
-BITMAP, PAIRWISE = 256, 32
+#: Least bytes of a set's parity bitmap, and members of a bucket up to which it is compared pair by pair instead of by differences: half as many
+#: rows of two keys for a member cost about what its set and the prefix of its differences do.
+BITMAP, PAIRWISE = 256, 256
 #: Ids of candidate documents, and pairs (some 60 bytes each), are sent to every task up to so many; beyond it text and sets are shuffled.
 MOST_BROADCAST, MOST_PAIRS = 1_000_000, 300_000
 
