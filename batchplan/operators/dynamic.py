@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchplan.functions.sizes import candidate_grid, even_floor, friendly_floor, growth_step, round_sizes, size_cap, smooth
+from batchplan.operators.plans import positions
 
 
 @dataclass(frozen=True)
@@ -133,7 +134,9 @@ def epoch(plan: DataFrame, number: int, *, seed: int = 21, keep_first: int = 3)
     ids = plan.select("batch_id").distinct()
     n = ids.count()
     pinned = F.col("batch_id") < keep_first if number == 0 and n > keep_first else F.lit(False)
-    ordered = ids.withColumn("place", F.row_number().over(Window.orderBy(F.when(pinned, F.col("batch_id")).otherwise(keep_first), F.xxhash64(F.lit(seed), F.lit(number), "batch_id"), "batch_id")) - 1)
+    # The hash of a batch_id under a fixed seed is unlike that of any other, so it is an order; positions() spreads it over its ranges.
+    hashed = ids.select("batch_id", F.when(pinned, F.col("batch_id")).otherwise(keep_first).alias("pin"), F.xxhash64(F.lit(seed), F.lit(number), "batch_id").alias("idx"))
+    ordered = positions(hashed, "pin", descending=False).select("batch_id", F.col("pos").alias("place"))
     within = Window.partitionBy("batch_id").orderBy(F.xxhash64(F.lit(seed), F.lit(number), F.lit("rows"), "idx"), "idx")
     rows = plan.join(ordered, "batch_id")
     return rows.select(F.lit(number).cast("bigint").alias("epoch"), F.col("place").cast("bigint").alias("place"), "batch_id", (F.row_number().over(within) - 1).cast("bigint").alias("slot"), "idx")

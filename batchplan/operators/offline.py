@@ -10,6 +10,8 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from batchplan.operators.plans import positions
+
 #: The features that the model is fitted on.
 FEATURES = ("batch_size_diff", "token_sum_diff", "token_mean_diff", "token_max_diff", "word_sum_diff", "word_mean_diff", "word_max_diff", "char_sum_diff", "token_std_y", "batch_size_x")
 STATS = ("mean", "std", "sum", "max", "min", "median", "mode")
@@ -154,7 +156,7 @@ def augment(lines: DataFrame, bands: list[tuple[int, int, int]], seed: int = 21)
     n = words.count()
     if not n:
         return spark.createDataFrame([], "band int, row int, text string")
-    numbered = words.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("k"), "w")
+    numbered = positions(words.select(F.col("line_no").alias("idx"), "w", F.lit(0).alias("all")), "all").select(F.col("pos").alias("k"), "w")
     wanted = spark.createDataFrame([(b, low, high, rows) for b, (low, high, rows) in enumerate(bands)], "band int, low int, high int, rows int")
     picks = wanted.select("band", "low", "high", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row")).select("*", F.posexplode(F.sequence(F.lit(1), F.greatest("low", F.lit(1)))).alias("at", "__")).drop("__")
     picks = picks.withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "band", "row", "at"), F.lit(n)))

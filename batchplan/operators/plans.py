@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def positions(lengths: DataFrame, key: str = "token_len", *, descending: bool = True, stripe: int = 1 << 16) -> DataFrame:
+#: Rows of a stripe that are worth a stripe of their own, most stripes, and how many of them a search looks at together.
+STRIPE, MOST_STRIPES, STEP = 1 << 16, 1024, 32
+
+
+def _stripes(rows: DataFrame, each: int) -> Column:
+    """Which of the ranges of idx that hold about equally many rows an idx lies in: by approximate quantiles, so ids may be hashed or sparse."""
+    fractions = [k / MOST_STRIPES for k in range(1, MOST_STRIPES)]
+    found = rows.agg(F.count("idx").alias("n"), F.percentile_approx("idx", fractions, 10 * MOST_STRIPES).alias("q")).first()  # one row
+    wanted = min(MOST_STRIPES, max(1, found.n // each))
+    cuts = sorted({found.q[k * MOST_STRIPES // wanted - 1] for k in range(1, wanted)})
+    if not cuts:
+        return F.lit(0)
+    at_most = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("idx")))
+    coarse = at_most(F.array(*(F.lit(c) for c in cuts[STEP - 1 :: STEP])).cast("array<bigint>")) * STEP
+    return coarse + at_most(F.slice(F.array(*map(F.lit, cuts)).cast("array<bigint>"), coarse + 1, F.lit(STEP)))
+
+
+def positions(lengths: DataFrame, key: str = "token_len", *, descending: bool = True, stripe: int = STRIPE) -> DataFrame:
     """The rows with pos, from 0 in order of key and then idx.
 
-    Ranks are counted in two steps, within stripes of idx for each value of the key and over the counts of the stripes, so no task
-    orders the table and one frequent length is spread over its stripes.
+    Ranks are counted in three steps: within stripes of idx for each value of the key, over the stripes of a value, and over the values. Only
+    the last one is a single task, of one row for each distinct value, so no task orders the table and one frequent length is spread over its stripes.
     """
-    rows = lengths.withColumn("__stripe", F.floor(F.col("idx") / stripe))
+    rows = lengths.withColumn("__stripe", _stripes(lengths, stripe))
     counts = rows.groupBy(key, "__stripe").agg(F.count("*").alias("__n"))
-    order = [F.desc(key) if descending else F.asc(key), F.asc("__stripe")]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)  # a row for each length and stripe
-    bases = counts.select(key, "__stripe", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    order = F.desc(key) if descending else F.asc(key)
+    ahead = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # a row for each value
+    values = counts.groupBy(key).agg(F.sum("__n").alias("__n")).select(key, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__first"))
+    before = Window.partitionBy(key).orderBy("__stripe").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(key, "__stripe", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")).join(values, key)
     within = Window.partitionBy(key, "__stripe").orderBy("idx")
     ranked = rows.withColumn("__own", F.row_number().over(within) - 1).join(bases, [key, "__stripe"])
-    return ranked.withColumn("pos", (F.col("__base") + F.col("__own")).cast("bigint")).drop("__stripe", "__base", "__own")
+    return ranked.withColumn("pos", (F.col("__first") + F.col("__base") + F.col("__own")).cast("bigint")).drop("__stripe", "__base", "__own", "__first")
 
 
 def fixed_batches(ranked: DataFrame, batch_size: int) -> DataFrame:

@@ -38,7 +38,8 @@ def loss_weight(size: Column, expected: int, accumulation: int, total: Column |
 
 
 def retry_step(chunks: DataFrame, policy: str | None, expected: int, accumulation: int) -> DataFrame:
-    """(step, loss, failures) after failures of memory. chunks: (step, size, loss, failed), one row for each chunk.
+    """(step, loss, failures) after failures of memory. chunks: (step, size, loss, failed), one row for each chunk of the steps whose first attempt
+    failed; steps that ran are not to be given.
 
     split_retry adds up the weighted losses of the chunks that ran, failed ones are only counted; skip gives loss 0 for the step.
     Failures count the step's first one too. Without a policy a failure is an error.

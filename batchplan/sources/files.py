@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +28,12 @@ def corpus(spark: SparkSession, sf_dir: str, name: str = "documents", id_col: st
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, text): the stripped, non-blank lines of text files, numbered in order of file and place."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("at"))
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"))
     rows = rows.withColumn("text", F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))).where("text <> ''")
-    return rows.select((F.row_number().over(Window.orderBy("f", "at")) - 1).alias("line_no"), "text")
+    before = Window.orderBy("f", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part of a file
+    bases = rows.groupBy("f", "part").agg(F.count("*").alias("n")).select("f", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = rows.withColumn("own", F.row_number().over(Window.partitionBy("f", "part").orderBy("at")) - 1)
+    return own.join(bases, ["f", "part"]).select((F.col("base") + F.col("own")).alias("line_no"), "text")
 
 
 def measurement_logs(spark: SparkSession, path: str) -> DataFrame:
@@ -38,5 +42,11 @@ def measurement_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_log(log: DataFrame, path: str) -> None:
-    """A log partitioned by its configuration; a place that holds one already is left as it is."""
-    log.write.mode("ignore").partitionBy("model_name", "start_batch", "max_input_length").parquet(path)
+    """A log partitioned by its configuration; of configurations that the place holds already nothing is written."""
+    keys = ["model_name", "start_batch", "max_input_length"]
+    try:
+        there = log.sparkSession.read.parquet(path).select(*(F.col(k).cast(log.schema[k].dataType) for k in keys)).distinct()
+        log = log.join(there, keys, "left_anti")
+    except AnalysisException:  # nothing is there
+        pass
+    log.write.mode("append").partitionBy(*keys).parquet(path)

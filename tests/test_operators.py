@@ -218,3 +218,26 @@ def test_adaptive_breaks_leave_no_splittable_bucket(spark):
     for v in smooth + hot:
         held.setdefault(int(np.searchsorted(breaks, v)), []).append(v)
     assert len(breaks) > 200 and all(len(h) < 100 or set(h) == {1.5} for h in held.values())
+
+
+@pytest.mark.parametrize("stripe", [1, 7, 1 << 16])
+def test_positions_of_hashed_ids(spark, stripe):
+    """Ids far apart, below 0 and in no order; many stripes, and a frequent length spread over them."""
+    import random
+
+    from batchplan.operators.plans import positions
+
+    rng = random.Random(9)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63), rng.choice([3, 3, 3, 9, 5])) for _ in range(300)]
+    got = positions(spark.createDataFrame(rows, "idx bigint, token_len int"), stripe=stripe).collect()
+    assert [(r.idx, r.token_len) for r in sorted(got, key=lambda r: r.pos)] == sorted(rows, key=lambda r: (-r[1], r[0])) and sorted(r.pos for r in got) == list(range(300))
+    assert positions(spark.createDataFrame([], "idx bigint, token_len int"), stripe=stripe).collect() == []
+
+
+def test_logs_of_several_configurations(spark, tmp_path):
+    from batchplan.sources.files import write_log
+
+    schema, place = "texts string, model_name string, start_batch int, max_input_length int", str(tmp_path / "log")
+    write_log(spark.createDataFrame([("a", "m", 8, 512)], schema), place)
+    write_log(spark.createDataFrame([("again", "m", 8, 512), ("b", "m", 16, 512), ("c", "n", 8, 512)], schema), place)
+    assert sorted(r.texts for r in spark.read.parquet(place).collect()) == ["a", "b", "c"]
