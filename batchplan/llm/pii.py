@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchplan.llm.decontaminate import lowered, words
-from batchplan.llm.spark_io import settled
+from batchplan.llm.spark_io import settled, unused
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: The base patterns with possessive runs and run starts, so that failing is linear; they match the same leftmost spans as
@@ -155,27 +155,28 @@ def _term_spans(rows: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     return each.join(sent, "word").groupBy("id", "h").agg(F.array_sort(F.collect_list(span)).alias("term"))
 
 
-def find_spans(docs: DataFrame, limits: Disclosure = Disclosure(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's rows with a column `found`: a struct of one array of (start, end, value) for each kind, in code points, end exclusive; value is the text, for terms the action.
+def find_spans(docs: DataFrame, limits: Disclosure = Disclosure(), *, id_col: str = "doc_id", text_col: str = "text", found_col: str = "found") -> DataFrame:
+    """The input's rows with a column of the name found_col: a struct of one array of (start, end, value) for each kind, in code points, end exclusive; value is the text, for terms the action.
 
     Null and empty texts have no spans. Repeated rows get equal spans; rows of one id with other texts are judged apart. Columns of
-    the input keep their names and values; one named `found` is replaced. An empty table gives an empty result. The text crosses the
+    the input keep their names and values; one named found_col is replaced. An empty table gives an empty result. The text crosses the
     network only if there are disclosing terms and the text itself is asked for.
     """
-    own = docs.drop("found")
+    own = docs.drop(found_col)
     base = F.struct(*(c.alias(k) for k, c in base_spans(F.col(text_col)).items()))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     terms = disclosing_terms(rows.select("*", *(c.alias(k) for k, c in base_spans(F.col("text")).items())), limits)
     n = terms.select("word").distinct().count()
     none = F.array().cast(SPAN)
     if not n:
-        return own.withColumn("found", base.withField("term", none))
-    places = _term_spans(rows, terms, n).withColumnsRenamed({"id": "__id", "h": "__h", "term": "__term"})
-    joined = own.withColumn("__base", base).withColumn("__key", F.xxhash64(text_col)).alias("d").join(places, F.col(f"d.{id_col}").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__h")), "left")
-    return joined.withColumn("found", F.col("__base").withField("term", F.coalesce("__term", none))).drop("__base", "__key", "__id", "__h", "__term")
+        return own.withColumn(found_col, base.withField("term", none))
+    i, h, term, key = (unused(own.columns, f"__{x}") for x in ("id", "h", "term", "key"))
+    places = _term_spans(rows, terms, n).withColumnsRenamed({"id": i, "h": h, "term": term})
+    joined = own.withColumn(key, F.xxhash64(text_col)).alias("d").join(places, F.col(f"d.{id_col}").eqNullSafe(F.col(i)) & (F.col(key) == F.col(h)), "left")
+    return joined.withColumn(found_col, base.withField("term", F.coalesce(term, none))).drop(key, i, h, term)
 
 
-def _listed(kinds: tuple[str, ...]) -> Column:
+def _listed(kinds: tuple[str, ...]) -> Column:  # of the column `found`
     """kind:start:end of every span, by kind as listed, then start, comma-joined."""
     named = lambda k: lambda s: F.concat_ws(":", F.lit(k), s.start, s.end)
     return F.array_join(F.concat(*(F.transform(F.col(f"found.{k}"), named(k)) for k in kinds)), ",")
@@ -194,7 +195,8 @@ def sanitise(docs: DataFrame, limits: Disclosure = Disclosure(), *, id_col: str
     Null texts stay null. Other cases as in find_spans().
     """
     marked = lambda k: lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), F.when(F.lit(k == "term") & (s.value == "remove"), "").otherwise(F.lit(f"<{k.upper()}>")).alias("mark"))
-    spans = F.array_sort(F.concat(*(F.transform(F.col(f"found.{k}"), marked(k)) for k in KINDS)))
+    name = unused(docs.columns, "__found")
+    spans = F.array_sort(F.concat(*(F.transform(F.col(f"{name}.{k}"), marked(k)) for k in KINDS)))
 
     def step(a: Column, s: Column) -> Column:
         piece = F.concat(F.substring(text_col, a.at + 1, F.greatest(s.start - a.at, F.lit(0))), F.when(s.start >= a.at, s.mark).otherwise(""))
@@ -206,6 +208,6 @@ def sanitise(docs: DataFrame, limits: Disclosure = Disclosure(), *, id_col: str
         step,
         lambda a: F.concat(F.array_join(a.out, ""), F.substring(text_col, a.at + 1, F.length(text_col))),
     )
-    found = find_spans(docs, limits, id_col=id_col, text_col=text_col)
+    found = find_spans(docs, limits, id_col=id_col, text_col=text_col, found_col=name)
     names = [c for c in docs.columns]
     return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(F.col(text_col))).select(*names)

@@ -30,6 +30,14 @@ def _local() -> str:
     return _own[0]
 
 
+def unused(names: list[str], wanted: str) -> str:
+    """A column name that none of the names is equal to, whatever their case."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
 @contextlib.contextmanager
 def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
     """The session's settings while frames are computed here, and as they were afterwards."""

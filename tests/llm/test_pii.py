@@ -101,3 +101,17 @@ def test_short_terms_and_account_names(spark):
     data += [(100 + k, f"{spelled(k + 7000)} or at") for k in range(200)] + [(900, "Li"), (901, "jdoe42"), (902, "\u738b\u4f1f"), (903, "or at")]
     got = {r.doc_id: r.n_term for r in module.pii_report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
     assert [got[k] for k in range(900, 904)] == [1, 1, 1, 0]
+
+
+@pytest.mark.parametrize("share", [0.5, 2.0])
+def test_columns_of_clashing_names(spark, share):
+    """With and without disclosing terms, columns named as the operator's own keep names, places and values."""
+    names = ["found", "__base", "__h", "__id", "__key", "__term", "__found", "id", "h", "word"]
+    rows = [(k, f"{spelled(31 * k)} {spelled(37 * k + 5)} Li at li@corp.example {spelled(43 * k + 9)} {spelled(47 * k + 11)}") for k in range(1, 9)]
+    rows += [(100 + k, f"{spelled(k + 7000)} or at") for k in range(200)]
+    frame = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    clean = module.sanitise(frame, module.Disclosure(share=share))
+    assert clean.columns == frame.columns
+    got = clean.collect()
+    assert len(got) == len(rows) and all(tuple(r)[2:] == tuple(range(len(names))) for r in got) and not any("@" in r.text for r in got)
+    assert any(" Li " in r.text for r in got) == (share > 1)
