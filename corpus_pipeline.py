@@ -22,7 +22,7 @@ from batchplan.llm.jaccard_join import jaccard_components
 from batchplan.llm.packing import pack
 from batchplan.llm.pii import sanitise
 from batchplan.llm.quality_lm import quality_classifier
-from batchplan.llm.spark_io import settled, shared_dir, written
+from batchplan.llm.spark_io import settled, shared_dir, unused, written
 from batchplan.llm.tokens import vocabulary
 
 #: Stages on word shingles take five words and a similarity of 0.8 or more.
@@ -31,35 +31,40 @@ WIDTH, SIMILAR = 5, (80, 100)
 MOST_BROADCAST = 2_000_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with their key, and the key's name, which no column of theirs has."""
+    key = unused(docs.columns, "__key")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")), key
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
     """The documents whose key is not rejected. Keys are sent to every task up to MOST_BROADCAST, beyond it the text is shuffled."""
-    keys = settled(rejected.select("__key").distinct())
-    return docs.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, "__key", "left_anti").drop("__key")
+    keys = settled(rejected.select(key).distinct())
+    return docs.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, key, "left_anti").drop(key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _keyed(docs)
+    """Without documents that the classifier rejects or that have no text; repeated rows share a verdict. No trusted labels: what has text stays."""
+    docs, key = _keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and toxic = 0")
-    trusted = docs.select("__key", "doc_id").join(labels, "doc_id", "left_semi").select("__key")
-    return _without(docs, quality_classifier(docs, trusted, id_col="__key").where("not kept"))
+    trusted = docs.select(key, "doc_id").join(labels, "doc_id", "left_semi").select(key)
+    return _without(docs, quality_classifier(docs, trusted, id_col=key).where("not kept"), key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _keyed(docs)
-    groups = written(jaccard_components(docs, WIDTH, *SIMILAR, id_col="__key"))
-    if not groups.groupBy("__key").count().where("count > 1").isEmpty():  # equal rows
-        docs = docs.dropDuplicates(["__key"])
-    return _without(docs, groups.where("__key <> component_id"))
+    """One document of each component, the one of smallest key; of equal rows one. Documents without words are linked with nothing and stay."""
+    docs, key = _keyed(docs)
+    groups = written(jaccard_components(docs, WIDTH, *SIMILAR, id_col=key))
+    if not groups.groupBy(key).count().where("count > 1").isEmpty():  # equal rows
+        docs = docs.dropDuplicates([key])
+    return _without(docs, groups.where(F.col(key) != F.col("component_id")), key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _keyed(docs)
+    """Without documents in which a window of a benchmark item occurs; null texts have none."""
+    docs, key = _keyed(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate(docs, items, width=10, id_col="__key").where("contaminated"))
+    return _without(docs, decontaminate(docs, items, width=10, id_col=key).where("contaminated"), key)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
