@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchplan.llm.decontaminate import lowered, words
-from batchplan.llm.spark_io import settled, unused
+from batchplan.llm.spark_io import settled, unused, written
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: The base patterns with possessive runs and run starts, so that failing is linear; they match the same leftmost spans as
@@ -35,6 +35,8 @@ _NEEDS = {"email": "@", "phone": "+"}
 SPAN = "array<struct<start:int,end:int,value:string>>"
 #: Terms are sent to every task up to so many rows; beyond it they are shuffled.
 MOST_BROADCAST = 200_000
+#: Keys of texts that hold terms, or spans of terms, are sent to every task up to so many (some 60 bytes each); beyond it they meet their rows by a shuffle.
+MOST_HOLDERS = 500_000
 
 
 @dataclass(frozen=True)
@@ -96,15 +98,28 @@ def _whole(text: Column, cut: Column, at_end: bool) -> Column:
     return F.when(cut, F.regexp_replace(text, rf"(?:{_WORD}|(?s:.))\z" if at_end else rf"\A(?:{_WORD}|(?s:.))", "")).otherwise(text)
 
 
-def disclosing_terms(rows: DataFrame, limits: Disclosure) -> DataFrame:
-    """(word, entity, share, bits, action) of the terms that disclose an entity, settled; rows has h, text and a column of spans for each kind.
+def _based(rows: DataFrame, limits: Disclosure) -> DataFrame:
+    """(id, h, a column of spans for each kind, around), written once without the texts of rows (id, h, text).
 
-    Terms are words of any length, A-Z lower-cased; which of them disclose is left to support, share and bits.
+    around holds (entity, before, after) of every span, with one character more than asked for on either side, which tells whether a word goes on beyond the context.
     """
-    named = lambda k: lambda s: F.struct(F.concat(F.lit(f"{k}:"), F.lower(s.value)).alias("entity"), s.start.alias("start"), s.end.alias("end"))
-    spans = F.concat(*(F.transform(F.col(k), named(k)) for k in PATTERNS))
-    # One character more than asked for tells whether a word goes on beyond the context. A word that runs into the entity is none of the text's.
-    around = rows.select("h", "text", F.explode(spans).alias("s")).select("s.entity", "h", "s.start", F.substring("text", F.greatest(F.col("s.start") - limits.context - 1, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(limits.context + 1))).alias("before"), F.substring("text", F.col("s.end") + 1, F.lit(limits.context + 1)).alias("after"))
+    c = limits.context + 1
+
+    def named(kind: str):
+        before = lambda s: F.substring("text", F.greatest(s.start - c, F.lit(0)) + 1, F.least(s.start, F.lit(c)))
+        return lambda s: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(s.value)).alias("entity"), before(s).alias("before"), F.substring("text", s.end + 1, F.lit(c)).alias("after"))
+
+    found = rows.select("*", *(spans.alias(k) for k, spans in base_spans(F.col("text")).items()))
+    return written(found.select("id", "h", *PATTERNS, F.concat(*(F.transform(F.col(k), named(k)) for k in PATTERNS)).alias("around")))
+
+
+def disclosing_terms(based: DataFrame, rows: DataFrame, limits: Disclosure) -> tuple[DataFrame, DataFrame]:
+    """(word, entity, share, bits, action) of the terms that disclose an entity, and (id, h, word) of the texts that hold a candidate, both settled.
+
+    Terms are words of any length, A-Z lower-cased; which of them disclose is left to support, share and bits. based is that of the rows (id, h, text).
+    """
+    # A word that runs into the entity is none of the text's.
+    around = based.select("h", F.explode("around").alias("s")).select("s.entity", "h", "s.before", "s.after")
     value = F.regexp_replace("entity", r"\A[a-z]+:", "")
     before = F.when(value.rlike(rf"\A{_WORD}"), F.regexp_replace("before", rf"{_WORD}\z", "")).otherwise(F.col("before"))
     after = F.when(value.rlike(rf"{_WORD}\z"), F.regexp_replace("after", rf"\A{_WORD}", "")).otherwise(F.col("after"))
@@ -128,52 +143,67 @@ def disclosing_terms(rows: DataFrame, limits: Disclosure) -> DataFrame:
     pairs = settled(met.join(least, "word").where(F.col("n_te") >= limits.share * F.col("n_c")).join(entities, "entity").select("entity", "word", "n_te", "n_e"))
     n = pairs.select("word").distinct().count()
     if not n:
-        return pairs.select("word", "entity", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"), F.lit("").alias("action")).limit(0)
+        none = pairs.select("word", "entity", F.lit(0.0).alias("share"), F.lit(0.0).alias("bits"), F.lit("").alias("action")).limit(0)
+        return none, rows.select("id", "h", F.lit("").alias("word")).limit(0)
     terms = pairs.select("word").distinct()
     sent = F.broadcast(terms) if n <= MOST_BROADCAST else terms
-    held = rows.select("h", F.explode(F.array_distinct(F.transform(words(F.col("text")), lowered))).alias("word")).join(sent, "word")
-    frequency = held.groupBy("word", "h").agg(F.lit(1).alias("x")).groupBy("word").agg(F.count("*").alias("n_t"))
-    total = rows.agg(F.count_distinct("h").alias("n")).first().n
+    holders = written(rows.select("id", "h", F.explode(F.array_distinct(F.transform(words(F.col("text")), lowered))).alias("word")).join(sent, "word").select("id", "h", "word"))
+    frequency = holders.groupBy("word", "h").agg(F.lit(1).alias("x")).groupBy("word").agg(F.count("*").alias("n_t"))
+    total = based.agg(F.count_distinct("h").alias("n")).first().n
     scored = pairs.join(frequency, "word").withColumn("share", F.least(F.lit(1.0), F.col("n_te") / F.col("n_t"))).withColumn("bits", F.log2(F.col("share") * total / F.col("n_e")))
     chosen = scored.where((F.col("share") >= limits.share) & (F.col("bits") >= limits.bits))
-    return settled(chosen.select("word", "entity", "share", "bits", F.when(F.col("share") >= limits.remove, "remove").otherwise("generalise").alias("action")))
+    return settled(chosen.select("word", "entity", "share", "bits", F.when(F.col("share") >= limits.remove, "remove").otherwise("generalise").alias("action"))), holders
+
 
+def _sent(frame: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(frame) if n <= MOST_HOLDERS else frame
 
-def _term_spans(rows: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    """(id, h, term): spans of the disclosing terms in every text that holds one."""
+
+def _places(based: DataFrame, rows: DataFrame, limits: Disclosure) -> DataFrame | None:
+    """(id, h, term): spans of the disclosing terms in every text that holds one, each (id, h) once; None without terms. Only texts that hold a term are read for them."""
+    terms, holders = disclosing_terms(based, rows, limits)
     actions = terms.groupBy("word").agg(F.max("action").alias("action"))  # remove before generalise
+    n = actions.count()
+    if not n:
+        return None
     sent = F.broadcast(actions) if n <= MOST_BROADCAST else actions
-    keys = rows.select("id", "h", "text", F.explode(F.array_distinct(F.transform(words(F.col("text")), lowered))).alias("word")).join(sent, "word").groupBy("id", "h").agg(F.first("text").alias("text"))
+    keys = settled(holders.join(sent, "word").select("id", "h").distinct())
+    same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.h") == F.col("k.h"))
+    texts = rows.alias("r").join(_sent(keys, keys.count()).alias("k"), same, "left_semi").groupBy("id", "h").agg(F.first("text").alias("text"))
     text = F.coalesce("text", F.lit(""))
     turns = F.arrays_zip(F.split(text, _WORD, -1).alias("g"), F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)).alias("m"))
-    from pyspark.sql import Window
-
-    each = keys.select("id", "h", F.posexplode(turns).alias("i", "t")).select("id", "h", "i", F.length("t.g").alias("g"), F.col("t.m").alias("m"))
+    each = texts.select("id", "h", F.posexplode(turns).alias("i", "t")).select("id", "h", "i", F.length("t.g").alias("g"), F.col("t.m").alias("m"))
     run = Window.partitionBy("id", "h").orderBy("i")
     each = each.withColumn("end", F.sum(F.col("g") + F.coalesce(F.length("m"), F.lit(0))).over(run).cast("int")).where("m is not null").withColumn("word", lowered(F.col("m")))
     span = F.struct((F.col("end") - F.length("m")).alias("start"), "end", F.col("action").alias("value"))
-    return each.join(sent, "word").groupBy("id", "h").agg(F.array_sort(F.collect_list(span)).alias("term"))
+    return settled(each.join(sent, "word").groupBy("id", "h").agg(F.array_sort(F.collect_list(span)).alias("term")))
+
+
+def _with_terms(frame: DataFrame, i: str, h: str, places: DataFrame, term: str) -> DataFrame:
+    """The frame, whose columns i and h are a text's id and hash, with the spans of its terms."""
+    n = places.agg(F.coalesce(F.sum(F.size("term") + 1), F.lit(0)).alias("n")).first().n
+    pi, ph = unused([*frame.columns, term], "__pi"), unused([*frame.columns, term], "__ph")
+    places = places.withColumnsRenamed({"id": pi, "h": ph, "term": term})
+    joined = frame.join(_sent(places, n), F.col(i).eqNullSafe(F.col(pi)) & (F.col(h) == F.col(ph)), "left").drop(pi, ph)
+    return joined.withColumn(term, F.coalesce(term, F.array().cast(SPAN)))
 
 
 def find_spans(docs: DataFrame, limits: Disclosure = Disclosure(), *, id_col: str = "doc_id", text_col: str = "text", found_col: str = "found") -> DataFrame:
     """The input's rows with a column of the name found_col: a struct of one array of (start, end, value) for each kind, in code points, end exclusive; value is the text, for terms the action.
 
     Null and empty texts have no spans. Repeated rows get equal spans; rows of one id with other texts are judged apart. Columns of
-    the input keep their names and values; one named found_col is replaced. An empty table gives an empty result. The text crosses the
-    network only if there are disclosing terms and the text itself is asked for.
+    the input keep their names and values; one named found_col is replaced. An empty table gives an empty result. Whole texts cross the
+    network only where they hold a term, or if there are more spans of terms than MOST_HOLDERS.
     """
     own = docs.drop(found_col)
     base = F.struct(*(c.alias(k) for k, c in base_spans(F.col(text_col)).items()))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    terms = disclosing_terms(rows.select("*", *(c.alias(k) for k, c in base_spans(F.col("text")).items())), limits)
-    n = terms.select("word").distinct().count()
-    none = F.array().cast(SPAN)
-    if not n:
-        return own.withColumn(found_col, base.withField("term", none))
-    i, h, term, key = (unused(own.columns, f"__{x}") for x in ("id", "h", "term", "key"))
-    places = _term_spans(rows, terms, n).withColumnsRenamed({"id": i, "h": h, "term": term})
-    joined = own.withColumn(key, F.xxhash64(text_col)).alias("d").join(places, F.col(f"d.{id_col}").eqNullSafe(F.col(i)) & (F.col(key) == F.col(h)), "left")
-    return joined.withColumn(found_col, base.withField("term", F.coalesce(term, none))).drop(key, i, h, term)
+    places = _places(_based(rows, limits), rows, limits)
+    if places is None:
+        return own.withColumn(found_col, base.withField("term", F.array().cast(SPAN)))
+    term, key = unused(own.columns, "__term"), unused(own.columns, "__key")
+    joined = _with_terms(own.withColumn(key, F.xxhash64(text_col)), id_col, key, places, term)
+    return joined.withColumn(found_col, base.withField("term", F.col(term))).drop(key, term)
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:  # of the column `found`
@@ -184,7 +214,12 @@ def _listed(kinds: tuple[str, ...]) -> Column:  # of the column `found`
 
 def pii_report(docs: DataFrame, limits: Disclosure = Disclosure(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, n_term, base_sha256, spans), one row for each input row. Cases as in find_spans()."""
-    found = find_spans(docs.select(id_col, text_col), limits, id_col=id_col, text_col=text_col).select(id_col, "found")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    based = _based(rows, limits)
+    places = _places(based, rows, limits)
+    spans = based.drop("around")
+    spans = spans.withColumn("term", F.array().cast(SPAN)) if places is None else _with_terms(spans, "id", "h", places, "term")
+    found = spans.select(F.col("id").alias(id_col), F.struct(*KINDS).alias("found"))
     counts = [F.size(f"found.{k}").cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(id_col, *counts, F.sha2(_listed(tuple(PATTERNS)), 256).alias("base_sha256"), _listed(KINDS).alias("spans"))
 
