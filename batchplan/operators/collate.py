@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -94,3 +95,11 @@ def fallback_chunks(totals: DataFrame, budget: int, smallest: int) -> DataFrame:
 def stream_batches(batches: DataFrame) -> Iterator:
     """The batches one after another on the driver, a partition at a time."""
     return batches.orderBy("batch_id").toLocalIterator(prefetchPartitions=True)
+
+
+def timed(batches: DataFrame) -> tuple[int, float]:
+    """(rows, seconds) of computing every row on the executors; nothing is kept or sent to the driver but the count."""
+    seen = Observation()
+    started = time.monotonic()
+    batches.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+    return seen.get["rows"], time.monotonic() - started

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from bisect import bisect_right
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from batchplan.operators.plans import positions
+from batchplan.operators.plans import positions, sample_order
 
 #: The features that the model is fitted on.
 FEATURES = ("batch_size_diff", "token_sum_diff", "token_mean_diff", "token_max_diff", "word_sum_diff", "word_mean_diff", "word_max_diff", "char_sum_diff", "token_std_y", "batch_size_x")
@@ -80,6 +79,35 @@ def dedup_first(frame: DataFrame, subset: list[str], order: str) -> DataFrame:
     return frame.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
+def true_first_batch(log: DataFrame, same: dict[str, str]) -> DataFrame:
+    """The rows of the batch that ran first: those in which each column is equal to the one that holds the first batch's value."""
+    return log.where(reduce(lambda a, b: a & b, (F.col(c) == F.col(first) for c, first in same.items())))
+
+
+def uniform_groups(frame: DataFrame, group: str, column: str) -> DataFrame:
+    """(group, uniform): whether the column has one value in all of the group's rows; a null is none."""
+    return frame.groupBy(group).agg((F.count_distinct(column) == 1).alias("uniform"))
+
+
+def threshold_shares(frame: DataFrame, column: str, threshold: float) -> DataFrame:
+    """One row: rows up to the threshold and beyond it, and their shares, null for an empty table."""
+    out = frame.agg(F.count_if(F.col(column) <= threshold).alias("n_low"), F.count_if(F.col(column) > threshold).alias("n_high"))
+    total = F.nullif(F.col("n_low") + F.col("n_high"), F.lit(0))
+    return out.withColumns({"share_low": F.col("n_low") / total, "share_high": F.col("n_high") / total})
+
+
+def speedups(timings: DataFrame, baseline: str, *, name: str = "strategy", cost: str = "seconds") -> DataFrame:
+    """(name, speedup): the baseline's cost over each one's, summed over rows; null where there is no baseline or nothing was spent."""
+    totals = timings.groupBy(name).agg(F.sum(cost).cast("double").alias("__cost"))
+    base = totals.where(F.col(name) == baseline).agg(F.max("__cost").alias("__base"))  # one row
+    return totals.join(F.broadcast(base)).select(name, (F.col("__base") / F.nullif(F.col("__cost"), F.lit(0.0))).alias("speedup"))
+
+
+def train_validation(frame: DataFrame, share: float = 0.1, *, id_col: str = "doc_id", seed: int = 21) -> DataFrame:
+    """The frame with is_validation, by the first 16 bits of a seeded hash of the id: no shuffle, the share holds about."""
+    return frame.withColumn("is_validation", F.substring(sample_order(id_col, seed), 1, 4) < F.lit(f"{round(share * 65536):04x}"))
+
+
 def range_weight(target: Column, ranges: list[tuple[float, float, float]], default: float = 1.0) -> Column:
     """The weight of the first half-open range [lo, hi) that holds the target."""
     weight = F.lit(default)

@@ -77,6 +77,23 @@ def padding_totals(plan: DataFrame, lengths: DataFrame, name: str) -> DataFrame:
     return totals.agg(F.lit(name).alias("strategy"), F.count("*").alias("batches"), F.coalesce(F.sum(F.col("n") * F.col("token_max")), zero).alias("area"), F.coalesce(F.sum("token_sum"), zero).alias("used"), F.coalesce(F.sum("padding"), zero).alias("padding"))
 
 
+def sample_order(id_col: str, seed: int) -> Column:
+    """A seeded order of ids that any engine can repeat: the hex MD5 of seed:id."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+
+
 def sample_rows(corpus: DataFrame, n: int, seed: int = 21, *, id_col: str = "doc_id") -> DataFrame:
     """Exactly n rows (or all), by a seeded hash of the id: the same rows on any cluster."""
-    return corpus.orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(n)
+    return corpus.orderBy(sample_order(id_col, seed), id_col).limit(n)
+
+
+def sample_ordinals(ranked: DataFrame, n: int, seed: int = 21) -> DataFrame:
+    """(pos) of exactly n of the rows (or all), ascending."""
+    return sample_rows(ranked.select("pos"), n, seed, id_col="pos").orderBy("pos")
+
+
+def positional_slice(ranked: DataFrame, first: int, length: int) -> DataFrame:
+    """The rows at `length` places from `first`, fewer at the end."""
+    if first < 0 or length < 0:
+        raise ValueError("a slice needs a place and a length of 0 or more")
+    return ranked.where(F.col("pos").between(first, first + length - 1))

@@ -23,6 +23,22 @@ def rate_scale(plan: DataFrame, base: int, rate: float) -> DataFrame:
     return counts.withColumn("scaled", F.lit(rate) * F.greatest(F.lit(1), F.floor(F.col("rows") / base)) / F.greatest(F.lit(1), F.col("batches")))
 
 
+def auto_rate(plan: DataFrame | None, base: int, rate: float, enabled: bool = False) -> DataFrame | float:
+    """The rate as given, or, asked for, that of rate_scale(); without a plan to scale by an error."""
+    if not enabled:
+        return rate
+    if plan is None:
+        raise ValueError("scaling a rate needs a plan")
+    return rate_scale(plan, base, rate)
+
+
+def batch_size_by_key(batches: DataFrame, key: str) -> DataFrame:
+    """(batch_id, size): the first dimension of the column `key` of collated batches; an error if there is no such column."""
+    if key not in batches.columns:
+        raise KeyError(key)
+    return batches.select("batch_id", F.size(key).cast("bigint").alias("size"))
+
+
 def step_scale(plan: DataFrame, base: int, steps: int) -> DataFrame:
     """(batches, static_batches, steps): an interval of steps of the fixed-size plan in steps of this one, 1 at least."""
     counts = plan.agg(F.count("*").alias("rows"), F.count_distinct("batch_id").alias("batches"))

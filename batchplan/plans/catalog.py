@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 
 from batchplan.functions.sizes import even_floor_column, friendly_floor_column
 from batchplan.operators import collate, features, lengths, offline, plans, training
-from batchplan.operators.dynamic import PlanConfig, dynamic_plan, epoch, plan_sizes, plan_violations
+from batchplan.operators.dynamic import PlanConfig, dynamic_plan, epoch, plan, plan_sizes, plan_violations
 
 B, LIMIT, RANGE, THRESHOLD = 16, 512, 2.0, 0.9
 GRID = features.candidate_grid(B, RANGE)
 WEIGHTS = [(0.0, 0.5, 2.0), (0.5, 0.9, 1.0), (0.9, 1.1, 5.0), (1.1, 2.0, 3.0)]
-SMALL_GRID = [16, 20, 26, 32]
-EVERY = 50
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -196,9 +194,9 @@ def batch_stats_experimental(spark, d):
 
 
 BASE_SQL = f"base AS (SELECT CAST({B} AS BIGINT) AS batch_size_x, avg(token_len) AS token_mean_x, CAST(sum(token_len) AS BIGINT) AS token_sum_x, max(token_len) AS token_max_x, avg(word_len) AS word_mean_x, CAST(sum(word_len) AS BIGINT) AS word_sum_x, max(word_len) AS word_max_x, CAST(sum(char_len) AS BIGINT) AS char_sum_x FROM ranked WHERE pos < {B})"
-FEATURES_SQL = f"""{POS}, {BASE_SQL}, grid AS (SELECT CAST(unnest({SMALL_GRID}) AS BIGINT) AS batch_size_y),
+FEATURES_SQL = f"""{POS}, {BASE_SQL}, grid AS (SELECT CAST(unnest({GRID}) AS BIGINT) AS batch_size_y),
 feat AS (SELECT p.pos, batch_size_y, avg(q.token_len) AS token_mean_y, stddev_pop(q.token_len) AS token_std_y, CAST(sum(q.token_len) AS BIGINT) AS token_sum_y, max(q.token_len) AS token_max_y, avg(q.word_len) AS word_mean_y, CAST(sum(q.word_len) AS BIGINT) AS word_sum_y, max(q.word_len) AS word_max_y, CAST(sum(q.char_len) AS BIGINT) AS char_sum_y
-FROM ranked p CROSS JOIN grid JOIN ranked q ON q.pos >= p.pos AND q.pos < p.pos + batch_size_y WHERE p.pos % {EVERY} = 0 GROUP BY p.pos, batch_size_y)"""
+FROM ranked p CROSS JOIN grid JOIN ranked q ON q.pos >= p.pos AND q.pos < p.pos + batch_size_y GROUP BY p.pos, batch_size_y)"""
 
 
 @_query(f"WITH {POS}, {BASE_SQL} SELECT * FROM base")
@@ -213,26 +211,12 @@ def candidate_grid(spark, d):
 
 @_query(f"WITH {FEATURES_SQL} SELECT pos, batch_size_y, round(token_mean_y, 6) AS token_mean_y, round(token_std_y, 4) AS token_std_y, token_sum_y, token_max_y, round(word_mean_y, 6) AS word_mean_y, word_sum_y, word_max_y, char_sum_y FROM feat")
 def candidate_features(spark, d):
-    """Every 50th position is the operator's own sampling of positions; its frames run over all rows."""
-    out = features.candidate_features(_ranked(spark, d), SMALL_GRID, EVERY)
+    out = features.candidate_features(_ranked(spark, d), GRID)
     return out.withColumns({"token_mean_y": F.round("token_mean_y", 6), "word_mean_y": F.round("word_mean_y", 6), "token_std_y": F.round("token_std_y", 4)})
 
 
-@_query(f"WITH {FEATURES_SQL} SELECT pos, batch_size_y, " + ", ".join(f"round(CAST({r}_y AS DOUBLE) / {r}_x, 6) AS {r}_diff" for r in features.RATIOS) + " FROM feat CROSS JOIN base")
+@_query(f"WITH {FEATURES_SQL} SELECT pos, batch_size_y, " + ", ".join(f"CAST({r}_y AS DOUBLE) / {r}_x AS {r}_diff" for r in features.RATIOS) + " FROM feat CROSS JOIN base")
 def ratio_features(spark, d):
-    ranked = _ranked(spark, d)
-    rows = features.ratio_features(features.candidate_features(ranked, SMALL_GRID, EVERY), features.baseline_features(ranked, B))
-    return rows.select("pos", "batch_size_y", *(F.round(f"{r}_diff", 6).alias(f"{r}_diff") for r in features.RATIOS))
-
-
-@_query()
-def candidate_features_all(spark, d):
-    """The operator's whole job: every position and every candidate of the grid."""
-    return features.candidate_features(_ranked(spark, d), GRID)
-
-
-@_query()
-def ratio_features_all(spark, d):
     ranked = _ranked(spark, d)
     rows = features.ratio_features(features.candidate_features(ranked, GRID), features.baseline_features(ranked, B))
     return rows.select("pos", "batch_size_y", *(f"{r}_diff" for r in features.RATIOS))
@@ -523,7 +507,7 @@ def config_grid(spark, d):
     return offline.config_grid(spark, [8, 16, 32], [128, 512])
 
 
-@_query()
+@_query("SELECT doc_id, lang FROM documents ORDER BY md5(concat('21:', doc_id)), doc_id LIMIT 100")
 def sample_exact(spark, d):
     return plans.sample_rows(_docs(spark, d).select("doc_id", "lang"), 100)
 
@@ -544,6 +528,121 @@ def gbt_fit_predict(spark, d):
     return model.transform(rows).select("batch_id", "target", "predicted")
 
 
+@_query(f"WITH {STATIC} SELECT batch_id, slot, idx FROM plan")
+def plan_dispatch_static(spark, d):
+    """The dispatcher with the dynamic plan switched off."""
+    return plan(_lens(spark, d).drop("text"), batch_size=B, dynamic=False).select("batch_id", "slot", "idx")
+
+
+# Smaller relational operators of planning and the offline side
+@_query("SELECT doc_id, lang, n_chars, source FROM documents")
+def sorted_columns(spark, d):
+    rows = _docs(spark, d).drop("text")
+    return rows.select(*sorted(rows.columns))
+
+
+@_query("SELECT doc_id AS idx, lang AS language FROM documents")
+def renamed_columns(spark, d):
+    return _docs(spark, d).select("doc_id", "lang").withColumnsRenamed({"doc_id": "idx", "lang": "language"})
+
+
+@_query("SELECT doc_id, lang, source FROM documents")
+def struct_expansion(spark, d):
+    return _docs(spark, d).select("doc_id", F.struct("lang", "source").alias("made")).select("doc_id", "made.*")
+
+
+@_query(f"WITH {POS} SELECT pos, idx FROM ranked WHERE pos >= 100 AND pos < 150")
+def positional_slice(spark, d):
+    return plans.positional_slice(_ranked(spark, d), 100, 50).select("pos", "idx")
+
+
+@_query("SELECT lang, source, doc_id FROM documents ORDER BY lang, source, doc_id")
+def multi_key_sort(spark, d):
+    return _docs(spark, d).select("lang", "source", "doc_id").orderBy("lang", "source", "doc_id")
+
+
+@_query(f"WITH {POS} SELECT pos FROM ranked ORDER BY md5(concat('21:', pos)), pos LIMIT 100")
+def sample_ordinals(spark, d):
+    return plans.sample_ordinals(_ranked(spark, d), 100)
+
+
+@_query(f"WITH {GROUP_SQL} SELECT batch_group, count(DISTINCT size) = 1 AS uniform FROM grouped GROUP BY batch_group")
+def uniform_groups(spark, d):
+    return offline.uniform_groups(offline.run_groups(_log(spark, d)), "batch_group", "size")
+
+
+@_query(f"WITH {TARGET_SQL} SELECT count(*) FILTER (target <= 0.5) AS n_low, count(*) FILTER (target > 0.5) AS n_high, round(count(*) FILTER (target <= 0.5) / count(*), 6) AS share_low, round(count(*) FILTER (target > 0.5) / count(*), 6) AS share_high FROM target")
+def threshold_shares(spark, d):
+    out = offline.threshold_shares(_target(spark, d), "target", 0.5)
+    return out.withColumns({c: F.round(c, 6) for c in ("share_low", "share_high")})
+
+
+@_query(_ORACLES["padding_by_strategy"].replace("SELECT strategy, count(*) AS batches", ", a AS (SELECT strategy, sum(area) AS area FROM g GROUP BY strategy) SELECT strategy, round((SELECT area FROM a WHERE strategy = 'normal') / area, 6) AS speedup FROM a --"))
+def speedup_ratio(spark, d):
+    """Padded areas stand for seconds."""
+    return offline.speedups(padding_by_strategy(spark, d), "normal", cost="area").withColumn("speedup", F.round("speedup", 6))
+
+
+@_query(f"WITH {STATIC}, first AS (SELECT count(*) AS first_size, max(token_len) AS first_top, sum(token_len) AS first_sum, max(char_len) AS first_char FROM plan WHERE batch_id = 0), b AS (SELECT batch_id, count(*) AS size, max(token_len) AS top, sum(token_len) AS total, max(char_len) AS char FROM plan GROUP BY batch_id) SELECT batch_id FROM b, first WHERE size = first_size AND top = first_top AND total = first_sum AND char = first_char")
+def true_first_batch(spark, d):
+    plan, known = _static(spark, d)
+    each = plan.join(known, "idx").groupBy("batch_id").agg(F.count("*").alias("size"), F.max("token_len").alias("top"), F.sum("token_len").alias("total"), F.max("char_len").alias("char"))
+    first = each.where("batch_id = 0").select(*(F.col(c).alias(f"first_{c}") for c in ("size", "top", "total", "char")))
+    return offline.true_first_batch(each.join(F.broadcast(first)), {c: f"first_{c}" for c in ("size", "top", "total", "char")}).select("batch_id")
+
+
+@_query(f"WITH {LEN} SELECT idx, md5(concat('21:', idx))[1:4] < '199a' AS is_validation, token_len FROM len")
+def train_validation_lengths(spark, d):
+    """Both parts of a corpus with their lengths."""
+    return offline.train_validation(_lens(spark, d).drop("text"), id_col="idx").select("idx", "is_validation", "token_len")
+
+
+@_query(f"WITH {STATIC} SELECT batch_id, count(*) AS size FROM plan GROUP BY batch_id")
+def batch_size_by_key(spark, d):
+    return training.batch_size_by_key(collate.collate(_static(spark, d)[0], _tokens(spark, d)), "input_ids")
+
+
+@_query(_ORACLES["lr_scale"])
+def auto_lr_scale(spark, d):
+    return training.auto_rate(_static(spark, d)[0], 8, 2e-5, True).withColumn("scaled", F.round("scaled", 12))
+
+
+@_query(f"WITH {STATIC}, c AS (SELECT batch_id, slot // 5 AS chunk_id, count(*) AS size FROM plan GROUP BY ALL) SELECT batch_id, chunk_id, round(size / sum(size) OVER (PARTITION BY batch_id), 6) AS weight FROM c")
+def loss_weights_in_fallback(spark, d):
+    """Without accumulation a chunk's loss counts by its share of the batch."""
+    chunks = collate.split_plan(_static(spark, d)[0], 5).groupBy("batch_id", "chunk_id").agg(F.count("*").alias("size"))
+    whole = chunks.groupBy("batch_id").agg(F.sum("size").alias("total"))
+    return chunks.join(whole, "batch_id").select("batch_id", "chunk_id", F.round(training.loss_weight(F.col("size"), 16, 1, F.col("total")), 6).alias("weight"))
+
+
+@_query(f"WITH {STATIC} SELECT batch_id AS step, 0.0::DOUBLE AS loss, 1::BIGINT AS failures FROM plan GROUP BY batch_id HAVING max(token_len) % 7 = 0")
+def skip_step(spark, d):
+    """Only steps that failed are retried."""
+    plan, known = _static(spark, d)
+    steps = plan.join(known, "idx").groupBy(F.col("batch_id").alias("step")).agg(F.count("*").alias("size"), (F.sum("token_len") / 100.0).alias("loss"), (F.max("token_len") % 7 == 0).alias("failed"))
+    return training.retry_step(steps.where("failed"), "skip", 16, 4)
+
+
+@_query(f"WITH {STATIC} SELECT count(*) AS rows, true AS timed FROM plan")
+def timed_consumer(spark, d):
+    rows, seconds = collate.timed(_static(spark, d)[0])
+    return spark.range(1).select(F.lit(rows).cast("bigint").alias("rows"), F.lit(seconds > 0).alias("timed"))
+
+
+@_query("SELECT CAST(count(*) FILTER (list_max(w) >= 12) AS BIGINT) AS violations FROM (SELECT list_transform(string_split(text, ' '), lambda x: length(x)) AS w FROM benchmark)")
+def id_violations(spark, d):
+    ids = spark.read.parquet(f"{d}/benchmark.parquet").select(F.transform(F.split("text", " "), lambda w: F.length(w).cast("bigint")).alias("ids"))
+    return lengths.id_violations(ids, "ids", 12).toDF("violations").select(F.col("violations").cast("bigint"))
+
+
+@_query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.0::DOUBLE ELSE n_chars::DOUBLE END AS x FROM documents")
+def clean_numbers(spark, d):
+    """Every third number is made a NaN, a null or an infinity, and cleaned."""
+    odd = F.when(F.col("doc_id") % 9 == 0, F.lit(float("nan"))).when(F.col("doc_id") % 9 == 3, F.lit(None)).otherwise(F.lit(float("inf")))
+    rows = _docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 3 == 0, odd).otherwise(F.col("n_chars").cast("double")).alias("x"))
+    return offline.clean_numbers(rows, ("x",))
+
+
 flagship = padding_by_strategy
 
 

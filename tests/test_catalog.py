@@ -44,7 +44,7 @@ def test_whole_candidate_features(spark, sf_dir):
     """Every position meets every candidate of the grid, against brute force."""
     ranked = catalog._ranked(spark, sf_dir).orderBy("pos").collect()
     token = [r.token_len for r in ranked]
-    rows = catalog.queries()["candidate_features_all"](spark, sf_dir).collect()
+    rows = catalog.queries()["candidate_features"](spark, sf_dir).collect()
     assert {(r.pos, r.batch_size_y): (r.token_sum_y, r.token_max_y) for r in rows} == {(p, c): (sum(token[p : p + c]), max(token[p : p + c])) for p in range(len(token)) for c in catalog.GRID}
-    first, ratios = sum(token[: catalog.B]), catalog.queries()["ratio_features_all"](spark, sf_dir).collect()
-    assert len(ratios) == len(rows) and all(math.isclose(r.token_sum_diff, sum(token[r.pos : r.pos + r.batch_size_y]) / first) for r in ratios)
+    first, ratios = sum(token[: catalog.B]), catalog.queries()["ratio_features"](spark, sf_dir).collect()
+    assert len(ratios) == len(rows) and all(math.isclose(r.token_sum_diff, sum(token[r.pos : r.pos + r.batch_size_y]) / first, abs_tol=1e-6) for r in ratios)
