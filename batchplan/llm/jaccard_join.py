@@ -5,6 +5,11 @@ tokens is hashed into m segments, x of which also index their one-deletion neigh
 most H tokens, so with m + x > H some plain segment is equal or some neighbourhood segment differs by at most one token. m and x are chosen
 for each band by cost: rows to index against unrelated sets expected to meet in empty segments.
 
+Sets that link meet in at least as many segments as their sizes say, which is more than one for most sizes. A set that meets others in fewer
+is done. Of such a number t each set may leave out the t - 1 buckets that come last in one order of all buckets: those that two sets leave
+out together are at most as many as one of them leaves out, so sets that link still meet. What goes is the crowded buckets, in which unrelated sets meet by
+empty segments or by frequent tokens, and whose pairs grow with the square of the input.
+
 Only components are asked for, so the sets that meet in a segment are not all compared. Equal sets are one class. Each member is
 first verified against the heaviest of its hubs, the members of its buckets that meet most others. Of what that leaves in different
 components, the members of an ordinary bucket are paired; sets of their sizes that link meet in a known least number of segments,
@@ -21,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchplan.llm.components import components
@@ -34,6 +39,8 @@ BUFFER, CROWD, SALTS = 750_000, 64, 64
 #: Least bytes of a set's parity bitmap, and members of a bucket up to which it is compared pair by pair instead of by differences: half as many
 #: rows of two keys for a member cost about what its set and the prefix of its differences do.
 BITMAP, PAIRWISE = 256, 256
+#: Members of a bucket beyond which sets leave it out if they may, and segments beyond what is needed, so that they may.
+LEAVE_OUT, SPARE = 16, 3
 #: Ids of candidate documents, and pairs (some 60 bytes each), are sent to every task up to so many; beyond it text and sets are shuffled.
 MOST_BROADCAST, MOST_PAIRS = 1_000_000, 300_000
 
@@ -94,7 +101,14 @@ def _signatures(s: np.ndarray, scheme: int, m: int, x: int, e: int) -> np.ndarra
         if x:
             few = where < x
             out.append(mix((sums[where[few]] - token[few]) ^ key[where[few]]))
-        return np.unique(np.concatenate(out))
+        return np.unique(np.concatenate(out)) & ~_U(1) | _U(scheme & 1)  # a set has at most two schemes, one after the other
+
+
+def least_met(n: int, scheme: int, first: list[int], schemes: dict[int, tuple[int, int, int]], num: int, den: int) -> int:
+    """In how many segments that it signs a set of n tokens meets any set that it links to by this scheme, at least; with neighbourhoods 1."""
+    m, x, e = schemes[scheme]
+    last = first[scheme + 1] - 1 if scheme + 1 < len(first) else n * den // num
+    return 1 if x else max(1, m - e - (n + min(n * den // num, max(n, last))) * (den - num) // (den + num))
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -207,7 +221,8 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
         h = 2 * last * (den - num) // (den + num)
         n = int(held[j] + (held[j - 1] if j else 0))
         if h and n > 1 and held[j]:
-            schemes[j] = allocate(h, (total[j] + (total[j - 1] if j else 0)) / n, n)
+            spare = min(SPARE, h // 4)
+            schemes[j] = allocate(h + spare, (total[j] + (total[j - 1] if j else 0)) / n, n)
     bound = spark.sparkContext.broadcast((band_of, first, schemes))  # a number for each size of set
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,11 +285,14 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
     dealt = signed.repartition(F.xxhash64("sig", F.when(F.col("own") != F.col("k"), F.pmod("k", F.lit(SALTS))).otherwise(-1)))
     buckets = written(dealt.sortWithinPartitions("sig", "k", "own").mapInArrow(freeing(met), SIGNED))
 
+    least = [(n, scheme & 1, least_met(n, scheme, first, schemes, num, den)) for n in sizes for scheme in (int(band_of[n]), int(band_of[n]) + 1) if scheme in schemes]
+    least = pa.table([pa.array(c, pa.int32()) for c in zip(*least, strict=True)] or [pa.array([], pa.int32())] * 3, names=["n", "odd", "least"])
+    members = _able(buckets, classes.select(F.col("hi").alias("k"), "cid", "n"), spark.createDataFrame(least))
+
     # Hubs: of each bucket the member that meets most others.
-    members = buckets.select("sig", "k").unionByName(buckets.select("sig", F.col("own").alias("k"))).distinct()
-    weights = members.join(buckets.groupBy("sig").agg(F.count("*").alias("n")), "sig").groupBy("k").agg(F.sum("n").alias("w"))
-    keys = classes.select(F.col("hi").alias("k"), "cid", "n")
-    members = written(members.join(weights, "k").join(keys, "k").select("sig", "cid", "n", "w"))
+    members = _crowds(members)
+    weights = members.groupBy("cid").agg(F.sum("size").alias("w"))
+    members = written(members.join(weights, "cid").select("sig", "cid", "n", "w", "out"))
     hubs = members.groupBy("sig").agg(F.max_by(F.struct("cid", "n", "w"), F.struct("w", "cid")).alias("hub"), F.count("*").alias("size"))
     able = F.least("n", "hub.n") * den >= F.greatest("n", "hub.n") * num
     met_hub = members.join(hubs, "sig").where((F.col("cid") != F.col("hub.cid")) & able)
@@ -319,13 +337,34 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
     return links.unionByName(_verified(rest, sets, num, den))
 
 
+def _crowds(members: DataFrame) -> DataFrame:
+    """The members with the size of their bucket, of buckets of two or more."""
+    return members.join(members.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "sig")
+
+
+def _able(buckets: DataFrame, keys: DataFrame, least: DataFrame) -> DataFrame:
+    """(sig, cid, n, out): the members of the buckets (sig, k, own) without sets that meet others too seldom to link by that scheme, and without the
+    crowded buckets that a set may leave out, `out` in number. least: (n, odd, least), in how many buckets a set of n tokens meets any partner, for its even and its odd scheme."""
+    of = Window.partitionBy("k", "cid", "odd")
+    met = F.count("*").over(of)
+    every = buckets.select("sig", "k").unionByName(buckets.select("sig", F.col("own").alias("k"))).repartition("k").distinct().join(keys, "k")
+    every = every.withColumn("odd", F.col("sig").bitwiseAND(F.lit(1)).cast("int")).join(F.broadcast(least), ["n", "odd"])
+    for _ in range(2):
+        every = _crowds(written(every.withColumn("met", met).where("met >= least").drop("met")))
+        every = every.withColumn("met", met).where("met >= least").drop("met") if _ else every.drop("size")
+    last = F.row_number().over(of.orderBy(F.desc("size"), "sig"))
+    goes = (F.col("size") > LEAVE_OUT) & (F.col("last") < F.col("least"))
+    every = every.withColumn("last", last).withColumn("goes", goes).withColumn("out", F.count_if("goes").over(of))
+    return written(every.where("not goes").select("sig", "cid", "n", "out"))
+
+
 def _rooted(frame: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
     r = roots.select(F.col("node").alias("__node"), F.col("root").alias("__root"))
     return frame.join(r, F.col(column) == F.col("__node"), "left").withColumn(name, F.coalesce("__root", column)).drop("__node", "__root")
 
 
 def _ordinary_pairs(rows: DataFrame, first: list[int], schemes: dict[int, tuple[int, int, int]], num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in as many buckets as sets of their sizes must if they link; rows: (sig, cid, n, root).
+    """Pairs (a, b) of different components that meet in as many buckets as sets of their sizes must if they link; rows: (sig, cid, n, out, root).
 
     Sets that link differ in at most H tokens, so of a scheme's m segments at least m - H are equal, and at most e of these are
     empty and unsigned. Two sets share the scheme of the larger one's band and, within one band, the next one if both sign it.
@@ -336,15 +375,19 @@ def _ordinary_pairs(rows: DataFrame, first: list[int], schemes: dict[int, tuple[
     p, q = rows.alias("p"), rows.alias("q")
     able = F.least("p.n", "q.n") * den >= F.greatest("p.n", "q.n") * num
     met = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.cid") < F.col("q.cid")) & (F.col("p.root") != F.col("q.root")) & able)
-    met = met.groupBy(F.col("p.cid").alias("a"), F.col("q.cid").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("p.n", "q.n")).alias("less"), F.min(F.greatest("p.n", "q.n")).alias("more"))
-    plain = F.array(*(F.lit(m - e if m and not x else 0) for m, x, e in (schemes.get(j, (0, 0, 0)) for j in range(len(first) + 1))))
     starts = F.array(*(F.lit(f) for f in first))
     band = lambda n: F.size(F.filter(starts, lambda f: f <= n))  # noqa: E731  from 1
+    main = F.pmod(band(F.greatest("p.n", "q.n")) - 1, F.lit(2)) == F.col("p.sig").bitwiseAND(F.lit(1))
+    out = F.greatest("p.out", "q.out")
+    met = met.select(F.col("p.cid").alias("a"), F.col("q.cid").alias("b"), F.least("p.n", "q.n").alias("less"), F.greatest("p.n", "q.n").alias("more"), main.alias("main"), out.alias("out"))
+    met = met.groupBy("a", "b").agg(F.count_if("main").alias("times"), F.count_if(~F.col("main")).alias("others"), F.min("less").alias("less"), F.min("more").alias("more"), F.max(F.when(F.col("main"), F.col("out"))).alias("out"), F.max(F.when(~F.col("main"), F.col("out"))).alias("outs"))
+    plain = F.array(*(F.lit(m - e if m and not x else 0) for m, x, e in (schemes.get(j, (0, 0, 0)) for j in range(len(first) + 1))))
     differ = F.floor((F.col("less") + F.col("more")) * (den - num) / (den + num))
     asked = lambda j: F.greatest(F.lit(0), F.element_at(plain, j) - differ)
     signs = F.floor(F.col("less") * den / num) >= F.try_element_at(starts, band(F.col("more")) + 1)
-    both = F.when((band(F.col("less")) == band(F.col("more"))) & signs, asked(band(F.col("more")) + 1)).otherwise(0)
-    return met.where(F.col("times") >= F.greatest(F.lit(1), asked(band(F.col("more"))) + both)).select("a", "b")
+    own, both = asked(band(F.col("more"))), F.when((band(F.col("less")) == band(F.col("more"))) & signs, asked(band(F.col("more")) + 1)).otherwise(0)
+    enough = (F.col("times") >= F.greatest(F.lit(1), own - F.col("out"))) & ((both <= 0) | (F.col("others") >= F.greatest(F.lit(1), both - F.col("outs"))))
+    return met.where(enough).select("a", "b")
 
 
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -109,6 +109,46 @@ def test_against_brute_force(spark, monkeypatch, num, den, crowd, most):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id if r.component_id is not None else -1) for r in got) == brute(data, 3, num, den)
 
 
+def test_frequent_passages_do_not_pair(spark, monkeypatch):
+    """Unrelated documents with one passage in common met in buckets of hundreds, all of whose pairs were compared."""
+    rng, pairs, ordinary = random.Random(8), [], module._ordinary_pairs
+    passage = " ".join(f"p{k}" for k in range(40))
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(250, 300)))
+    data = [(k, f"{text()} {passage} {text()}") for k in range(240)]
+    data += [(k, f"{data[k - 1000][1]} another end") for k in range(1000, 1020)]
+
+    def counting(rows, *rest):
+        pairs.append(rows.groupBy("sig").count().selectExpr("sum(count * (count - 1) / 2) pairs").first().pairs or 0)
+        return ordinary(rows, *rest)
+
+    monkeypatch.setattr(module, "_ordinary_pairs", counting)
+    got = module.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), 5, 80, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k % 1000 for k, _ in data}
+    of_copies = 20 * 2 * 700  # 20 pairs meet in nearly all segments of two schemes
+    assert pairs[0] < of_copies
+
+
+def test_least_number_of_segments():
+    rng = np.random.default_rng(7)
+    for num, den in ((80, 100), (90, 100)):
+        first = module.bands(2000, num, den)
+        schemes = {}
+        for j, f in enumerate(first):
+            h = 2 * ((first[j + 1] if j + 1 < len(first) else f * den // num + 1) - 1) * (den - num) // (den + num)
+            if h:
+                schemes[j] = module.allocate(h, f, 1000)
+        for _ in range(400):
+            a = np.unique(rng.integers(0, 1 << 60, rng.integers(12, 900)).astype(np.uint64))
+            b = a
+            while module._linked(a, c := np.unique(np.append(np.delete(b, rng.integers(len(b))), rng.integers(0, 1 << 60, rng.integers(0, 3)).astype(np.uint64))), num, den):
+                b = c
+            band = [int(np.searchsorted(first, len(s), "right")) - 1 for s in (a, b)]
+            for scheme in (max(band), max(band) + 1):
+                if scheme in schemes and all(scheme == j or len(s) * den // num >= first[scheme] for s, j in zip((a, b), band, strict=True)):
+                    met = len(np.intersect1d(module._signatures(a, scheme, *schemes[scheme]), module._signatures(b, scheme, *schemes[scheme])))
+                    assert met >= max(module.least_met(len(s), scheme, first, schemes, num, den) for s in (a, b))
+
+
 def test_no_documents(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert module.jaccard_components(frame).collect() == []
