@@ -38,13 +38,15 @@ _SYMBOLS = 256
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shards of the model, and bytes of a text that are looked at together.
 SHARDS, CHUNK = 1024, 1 << 22
+#: Rows, of a bit for each of 64 neighbouring documents, that are sent to every task to find the trusted ones; beyond it their texts are shuffled.
+MOST_MARKS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Quality:
     """quantile: of trusted documents, the threshold of a language; confidence: that this share of clean documents lies under the log-normal estimate; held_out: one in so many trusted documents is kept from training, for the
     thresholds; least: held-out documents that a language needs for a threshold of its own, with fewer it gets that of all;
-    trusted: most labelled documents that the model is fitted on, taken by a hash of their id; block: bytes of text in a block, on average;
+    block: bytes of text in a block, on average;
     evidence: least log-likelihood ratio, in nats, at which a perplexity over the threshold or repeated words reject (14: once in a million)."""
 
     quantile: float = 0.99
@@ -52,7 +54,6 @@ class Quality:
     evidence: float = 14.0
     held_out: int = 5
     least: int = 10
-    trusted: int = 50_000
     block: int = 16_000_000
 
 
@@ -95,7 +96,7 @@ def _suffix(g: Column | str, m: int) -> Column:
 
 
 def _in_blocks(docs: DataFrame, limit: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(id, lang, text, block): stretches of neighbouring rows of the files, the same for every way of splitting them. What is no scan of files is written first."""
+    """(id, lang, text, block, at): stretches of neighbouring rows of the files, the same for every way of splitting them. at: the place in the stretch. What is no scan of files is written first."""
     columns = [F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")]
     try:
         docs.select(*columns, "_metadata.row_index")
@@ -103,7 +104,17 @@ def _in_blocks(docs: DataFrame, limit: int, id_col: str, text_col: str, lang_col
         docs, columns = written(docs.select(*columns)), ["id", "lang", "text"]
     size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(columns[2])), F.lit(0)).alias("bytes")).first()
     each = max(1, int(limit * size.n / max(1, size.bytes)))
-    return docs.select(*columns, F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / each)).alias("block"))
+    return docs.select(*columns, F.xxhash64(F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / each)).alias("block"), F.pmod(F.col("_metadata.row_index"), F.lit(each)).alias("at"))
+
+
+def _of_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the rows with one of the ids. Ids meet without texts, and what goes to the texts is a bit for each row, so no number of ids is too large."""
+    word, bit = F.floor(F.col("at") / 64).alias("word"), F.pmod("at", F.lit(64)).cast("int")
+    marks = rows.select("id", "block", "at").join(ids, "id", "left_semi").groupBy("block", word).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    marks = settled(marks.select(F.col("block").alias("b"), F.col("word").alias("w"), "bits"))
+    marked = F.call_function("getbit", F.col("bits"), bit) == 1
+    sent = F.broadcast(marks) if marks.count() <= MOST_MARKS else marks
+    return rows.where("length(text) > 0").join(sent, (F.col("block") == F.col("b")) & (word == F.col("w")) & marked, "left_semi").select("text")
 
 
 def _shard(middle):
@@ -346,13 +357,12 @@ def perplexity(docs: DataFrame, trusted: DataFrame, options: Quality = Quality()
     """(id, lang, n_bytes, perplexity, n_repeats, n_pairs, trusted, held_out), one row for each input row.
 
     n_repeats of the n_pairs neighbouring words are equal. trusted: frame with the column of ids of trusted documents; held_out: trusted and kept from training. Null and empty texts have no bytes and a null perplexity. A
-    document's perplexity is per byte, its closing zero byte included. Repeated rows are scored one by one. Very long texts
+    document's perplexity is per byte, its closing zero byte included. The model is trained on all trusted documents but those held out. Repeated rows are scored one by one. Very long texts
     are looked at in stretches. Columns other than the three named are not read.
     """
     ids = trusted.select(F.col(id_col).alias("id")).where("id is not null").where(~_is_held_out(F.col("id"), options)).distinct()
-    ids = settled(ids.orderBy(F.xxhash64("id"), "id").limit(options.trusted))
     rows = _in_blocks(docs, options.block, id_col, text_col, lang_col)
-    trained = rows.where("length(text) > 0").join(F.broadcast(ids), "id", "left_semi").select("text").mapInArrow(freeing(_counted), "g long, n long")
+    trained = _of_ids(rows, ids).mapInArrow(freeing(_counted), "g long, n long")
     model = fit(trained.groupBy("g").agg(F.sum("n").alias("c")))
     answers = _answered(rows.select("block", "text").mapInArrow(freeing(_asked), ROW), model)
     both = answers.unionByName(rows.select("id", "lang", "text", "block").mapInArrow(freeing(_texts), ANSWER))
@@ -385,12 +395,12 @@ def quality_classifier(docs: DataFrame, trusted: DataFrame, options: Quality = Q
     of = lambda c: F.percentile_approx(c, options.quantile, 10_000)
     rate = ((F.sum("n_repeats") + 1) / (F.sum("n_pairs") + 2)).alias("rate")
     usual = lambda f, *what: F.broadcast(f.groupBy("lang").agg(*what, F.count_if(F.col("held_out")).alias("n")).where(F.col("n") >= options.least).drop("n").withColumnRenamed("lang", "l"))
-    good = scored.where("held_out and perplexity is not null")
+    good = scored.where("trusted and perplexity is not null")
     first = good.agg(F.count("*").alias("n"), rate).first()
     joined = scored.join(usual(good, rate), F.col("lang").eqNullSafe(F.col("l")), "left").drop("l")  # a row for each language
     joined = joined.withColumn("excess", _excess(F.col("n_repeats"), F.col("n_pairs"), F.coalesce("rate", F.lit(first.rate if first.n else None).cast("double"))))
     good = joined.where("trusted and perplexity is not null")
-    limits = _threshold(options).alias("t"), of(F.when(F.col("held_out"), F.col("excess"))).alias("e")
+    limits = _threshold(options).alias("t"), of(F.col("excess")).alias("e")
     every = good.agg(*limits).first()
     joined = joined.join(usual(good, *limits), F.col("lang").eqNullSafe(F.col("l")), "left")
     threshold = F.coalesce("t", F.lit(every.t).cast("double"))

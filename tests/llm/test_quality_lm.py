@@ -135,3 +135,15 @@ def test_other_columns_and_ties(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, block string, shard int, perplexity double, l string")
     got = module.quality_classifier(docs, docs.where("doc_id < 30").select("doc_id")).collect()
     assert len(got) == len(rows) and all(r.kept for r in got if r.doc_id < 99) and len({r.perplexity for r in got if r.doc_id < 99}) == 1
+
+
+def test_trained_on_all_trusted_documents(spark, tmp_path, monkeypatch):
+    """At most 50 000 trusted documents were counted."""
+    docs = spark.range(72_000).selectExpr("id doc_id", "'ab' text", "'en' lang")
+    docs.unionByName(docs.where("doc_id % 2 = 0")).write.parquet(str(tmp_path / "d"))
+    docs, counted, fit = spark.read.parquet(str(tmp_path / "d")), [], module.fit
+    monkeypatch.setattr(module, "fit", lambda counts: counted.append(counts.agg({"c": "sum"}).first()[0]) or fit(counts))
+    got = module.perplexity(docs, docs.where("doc_id % 16 > 0").select("doc_id"))
+    assert counted == [3 * got.where("trusted and not held_out").count()] and counted[0] > 3 * 50_000
+    monkeypatch.setattr(module, "MOST_MARKS", 0)
+    assert module.perplexity(docs, docs.where("doc_id % 16 > 0").select("doc_id")).where("trusted").count() == got.where("trusted").count() and counted[1] == counted[0]
