@@ -110,7 +110,7 @@ def test_against_brute_force(spark, monkeypatch, num, den, crowd, most):
 
 
 def test_frequent_passages_do_not_pair(spark, monkeypatch):
-    """Unrelated documents with one passage in common met in buckets of hundreds, all of whose pairs were compared."""
+    """Unrelated documents with one passage in common met in crowded buckets, all of whose pairs were compared."""
     rng, pairs, ordinary = random.Random(8), [], module._ordinary_pairs
     passage = " ".join(f"p{k}" for k in range(40))
     text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(250, 300)))
@@ -124,8 +124,7 @@ def test_frequent_passages_do_not_pair(spark, monkeypatch):
     monkeypatch.setattr(module, "_ordinary_pairs", counting)
     got = module.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), 5, 80, 100).collect()
     assert {r.doc_id: r.component_id for r in got} == {k: k % 1000 for k, _ in data}
-    of_copies = 20 * 2 * 700  # 20 pairs meet in nearly all segments of two schemes
-    assert pairs[0] < of_copies
+    assert pairs[0] < 4500  # mostly of the 20 copies; 5653 with all crowded buckets
 
 
 def test_least_number_of_segments():
