@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from batchplan.llm.decontaminate import decontaminate
 from batchplan.llm.jaccard_join import jaccard_components
@@ -12,7 +13,7 @@ from batchplan.llm.packing import pack
 from batchplan.llm.pii import pii_report
 from batchplan.llm.quality_lm import quality_classifier
 from batchplan.llm.quality_rules import BASE, POLICIES, RULES, mask, quality_rules
-from batchplan.llm.suffix_dedup import suffix_dedup
+from batchplan.llm.suffix_dedup import deduplicated, digests
 from batchplan.llm.token_counts import token_counts
 from batchplan.llm.token_output import read_token_store, write_token_store
 from batchplan.llm.tokens import vocabulary
@@ -47,7 +48,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(_table(spark, sf_dir, "documents"), length=400)
+    found = deduplicated(_table(spark, sf_dir, "documents"), length=400)
+    return found.select(*digests(found), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from batchplan.llm.shingles import mix
 from batchplan.llm.spark_io import freeing, written
@@ -37,6 +38,7 @@ CHUNK, RUN, MERGE = 1 << 22, 24_000_000, 10_000
 ANCHOR = "gram long, h1 long, h2 long, at long"
 RUNS = "part int, run binary, h1 long, h2 long, p int, gram long, right binary, left binary, low int, high int"
 PATH = "side int, class binary, depths array<int>, nodes array<long>"
+KEPT = "spans array<struct<start: long, end: long>>, kept binary"
 STEP = "gram long, u long, v long, low int, high int, right binary, left binary, n long"
 
 
@@ -192,25 +194,35 @@ def _signed(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _spans(b: bytes, spans) -> tuple[int, int, str]:
-    """(removed, runs, sha256 of the rest) for half-open spans in any order."""
-    kept, at, removed, runs = hashlib.sha256(), 0, 0, 0
+def _cut_out(b: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
+    """(maximal runs, the rest) for half-open spans in any order."""
+    runs: list[list[int]] = []
     for start, end in sorted(spans):
-        if start > at or not runs:
-            kept.update(b[at:start])
-            runs += 1
-            at = start
-        removed += max(0, end - at)
-        at = max(at, end)
-    kept.update(b[at:])
-    return removed, runs, kept.hexdigest()
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(end, runs[-1][1])
+        else:
+            runs.append([start, end])
+    edges = [0, *(x for run in runs for x in run), len(b)]
+    return [tuple(run) for run in runs], b"".join([b[i:k] for i, k in zip(edges[::2], edges[1::2], strict=True)])
+
+
+def digests(found: DataFrame, id_col: str = "doc_id") -> list[Column]:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of what deduplicated() returns."""
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return [found[id_col], found["n_bytes"], removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256), one row for each input row.
+    """The digests of deduplicated(): n_spans counts the runs, kept_sha256 is of the kept bytes."""
+    found = deduplicated(docs, length, id_col=id_col, text_col=text_col)
+    return found.select(*digests(found, id_col))
+
+
+def deduplicated(docs: DataFrame, length: int = 400, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, spans array of (start, end), kept binary), one row for each input row.
 
     Removed is each byte covered by a string of `length` bytes that starts at two or more places of the input, the same document included;
-    n_spans counts maximal runs of removed bytes and kept_sha256 is of the others. Null texts are empty. Repeated rows and
+    spans are the maximal runs of removed bytes in order and kept is what the others make up, which need not be whole characters. Null texts are empty. Repeated rows and
     rows of equal id are documents of their own, so equal texts of `length` bytes or more lose everything. Very long texts are
     looked at in stretches. Other columns are not read; an empty table gives an empty result. length must be over 64.
     """
@@ -219,7 +231,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, *, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = rows.select("id", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").cast("long").alias("n_bytes"))
-    texts = rows.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
+    texts = rows.where(F.col("n_bytes") >= length).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("id").alias("rep"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
@@ -323,27 +335,25 @@ def suffix_dedup(docs: DataFrame, length: int = 400, *, id_col: str = "doc_id",
     hit = steps.join(again, ["gram", "u", "v"]).select("gram", "right", "left", F.col("low").alias("from"), F.col("high").alias("to"))
     spans = placed.join(hit, ["gram", "right", "left"]).groupBy("h1", "h2").agg(F.collect_set(F.struct((F.col("p") - F.col("to")).alias("start"), (F.col("p") - F.col("from") + length).alias("end"))).alias("spans"))
 
-    alone = spans.join(texts.where("copies = 1").select("h1", "h2", "rep"), ["h1", "h2"]).alias("s")
-    body = rows.select("id", "text", "h1", "h2").alias("r").join(alone, F.col("r.id").eqNullSafe(F.col("s.rep")) & (F.col("r.h1") == F.col("s.h1")) & (F.col("r.h2") == F.col("s.h2")))
+    marks = written(texts.join(spans, ["h1", "h2"], "left").where("copies > 1 or spans is not null").select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), (F.col("copies") > 1).alias("whole"), "spans"))
+    body = rows.join(marks, (F.col("h1") == F.col("m1")) & (F.col("h2") == F.col("m2")), "left")
+    body = body.select("id", F.when(F.col("whole"), F.lit("")).otherwise(F.col("text")).alias("text"), "n_bytes", F.coalesce("whole", F.lit(False)).alias("whole"), "spans.start", "spans.end")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [_spans(t.as_buffer().to_pybytes(), zip(s.as_py(), e.as_py(), strict=True)) for t, s, e in zip(b.column(2), b.column(3), b.column(4), strict=True)]
-            columns = list(zip(*got, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["g1", "g2", "removed", "runs", "sha"])
-
-    part = body.select(F.col("r.h1").alias("g1"), F.col("r.h2").alias("g2"), "text", "spans.start", "spans.end").mapInArrow(freeing(remove), "g1 long, g2 long, removed long, runs long, sha string")
-    whole = texts.where("copies > 1").select(F.col("h1").alias("w1"), F.col("h2").alias("w2"))
-    base = rows.select("id", "h1", "h2", "n_bytes", F.sha2("text", 256).alias("own"))
-    out = base.join(part, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").join(whole, (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2")), "left")
-    gone, zero = F.col("w1").isNotNull() & (F.col("n_bytes") >= length), F.lit(0).cast("long")
-    return out.select(
-        F.col("id").alias(id_col),
-        "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("removed", zero)).alias("n_removed"),
-        F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("runs", zero)).alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha", "own")).alias("kept_sha256"),
-    )
+            runs, kept = [], []
+            for t, n, whole, s, e in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                own, rest = t.as_buffer().to_pybytes(), zip(s.as_py() or (), e.as_py() or (), strict=True)
+                own, rest = ([(0, n)], b"") if whole else _cut_out(own, rest) if s.is_valid else ([], own)
+                runs.append(own)
+                kept.append(rest)
+            edges = np.array([x for own in runs for run in own for x in run], np.int64)
+            each = pa.StructArray.from_arrays([pa.array(edges[::2]), pa.array(edges[1::2])], names=["start", "end"])
+            spans = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, runs)]), pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), spans, pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+
+    kind = StructType([body.schema["id"], body.schema["n_bytes"], *StructType.fromDDL(KEPT)])
+    return body.mapInArrow(freeing(remove), kind).withColumnRenamed("id", id_col)
 
 
 def _rows(fields: list[tuple[str, pa.DataType]], **columns) -> pa.RecordBatch:

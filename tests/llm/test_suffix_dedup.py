@@ -90,3 +90,31 @@ def test_against_brute_force(spark):
 def test_no_documents(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert module.suffix_dedup(frame).collect() == []
+
+
+def test_spans_and_kept_bytes(spark):
+    data = corpus(100)
+    frame = spark.createDataFrame(data, "doc_id long, text string, h1 long, copies string").repartition(5)
+    found = module.deduplicated(frame, 100).collect()
+    texts = Counter((d, (t or "").encode()) for d, t, *_ in data)
+    for r in found:
+        body = next(b for (d, b), n in texts.items() if n and d == r.doc_id and len(b) == r.n_bytes and rest(b, r.spans) == bytes(r.kept))
+        texts[r.doc_id, body] -= 1
+        assert all(a.end < b.start for a, b in zip(r.spans, r.spans[1:], strict=False))
+    assert not any(texts.values())
+    assert any(len(r.spans) > 1 for r in found)
+
+
+def rest(body, spans):
+    return b"".join(body[a:b] for a, b in zip([0, *(s.end for s in spans)], [*(s.start for s in spans), len(body)], strict=True))
+
+
+def test_query_returns_the_kept_text(spark, tmp_path):
+    """A character that a removed run cuts in two is marked, all others are the input's."""
+    from batchplan.llm.catalog import queries
+
+    passage = "".join(chr(0x61 + k * k % 23) for k in range(500))
+    data = [(1, f"before é{passage}"), (2, f"other ©{passage} behind"), (3, "clean ß"), (4, None), (5, "copy " * 100), (6, "copy " * 100)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in queries()["op6_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: "before �", 2: "other � behind", 3: "clean ß", 4: "", 5: "", 6: ""}
