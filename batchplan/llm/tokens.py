@@ -31,6 +31,9 @@ _SPACED = re.compile(r"\s*\S+|\s+")
 #: str.split() and re's \s take these for white space, the vocabularies' patterns do not.
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
+#: In a text without these, words stand behind single blanks or line ends.
+_UNEVEN = ("  ", "\n\n", " \n", "\n ", *(c for c in map(chr, range(0x110000)) if c.isspace() and c not in (" ", "\n", *_SEPARATORS)))
+
 
 def _byte_letters() -> list[str]:
     """The printable letter of each byte in a byte-level vocabulary: itself if printable, else the next free one from 256."""
@@ -43,16 +46,22 @@ def _byte_letters() -> list[str]:
 
 
 class _Table(dict):
-    """Unit -> code; a missing unit is encoded and stored. Only strings, bytes and numbers are kept, which the garbage collector need not walk."""
+    """Unit -> code; a missing unit is taken from the table before or encoded, and stored. Only strings, bytes and numbers are kept, which the garbage collector need not walk."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, before=None):
         super().__init__()
-        self.encode, self.ids, self.starts, self.lens = encode, array("I"), array("q"), array("i")
+        self.encode, self.before = encode, before
+        self.ids, self.starts, self.lens = array("I"), array("q"), array("i")
 
     def __missing__(self, unit):
-        code = self[unit] = self.add(self.encode(unit))
+        known = None if self.before is None else self.before.get(unit)
+        code = self[unit] = self.add(self.encode(unit) if known is None else self.before.of(known))
         return code
 
+    def of(self, code: int) -> bytes:
+        start = self.starts[code]
+        return self.ids[start : start + self.lens[code]].tobytes()
+
     def add(self, ids: bytes) -> int:
         self.starts.append(len(self.ids))
         self.lens.append(len(ids) >> 2)
@@ -64,19 +73,22 @@ class TextEncoder:
     """Ids of texts, as the library's encode(text, add_special_tokens=False).
 
     path: a file of the tokenizers library. max_units: bound of the table kept by a worker; beyond it the
-    table starts again, which costs time and changes no result.
+    table starts again, which costs time and changes no result. For a byte-level vocabulary the last table stays
+    to be looked up, as its pre-tokens of letters are units themselves and not kept beside them.
     """
 
     def __init__(self, path: str, max_units: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.tokenize = self.library.model.tokenize
         self.max_units = max_units
         spec = json.load(open(path, encoding="utf-8"))
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.kind = self._kind(spec)
         self.letters = _byte_letters()
         self.whole: dict[str, int] = self._whole_tokens(spec) if self.kind == "words" else {}
+        self.table = None
         self._reset()
 
     @staticmethod
@@ -105,19 +117,24 @@ class TextEncoder:
                 word = bytes(back[c] for c in body).decode()
             except UnicodeDecodeError:
                 continue
-            if word and max(word) < _LATIN_END and _WORD_UNITS.findall(word) == [word] and word == word.lower() and [t.id for t in self.library.model.tokenize(body)] == [i]:
+            if word and max(word) < _LATIN_END and _WORD_UNITS.findall(word) == [word] and word == word.lower() and [t.id for t in self.tokenize(body)] == [i]:
                 proven[word] = i
         return proven
 
     def _reset(self) -> None:
         self.pretokens: dict[str, bytes] = {w: array("I", (i,)).tobytes() for w, i in self.whole.items()}
-        self.table = _Table(self._word_unit if self.kind == "words" else self._byte_unit)
+        if self.kind == "words":
+            self.table = _Table(self._word_unit)
+        else:
+            if self.table is not None:
+                self.table.before = None
+            self.table = _Table(self._byte_unit, self.table)
 
     def _merge(self, pretoken: str) -> bytes:
         ids = self.pretokens.get(pretoken)
         if ids is None:
             letters = self.letters
-            ids = array("I", [t.id for t in self.library.model.tokenize("".join([letters[b] for b in pretoken.encode()]))]).tobytes()
+            ids = array("I", [t.id for t in self.tokenize("".join([letters[b] for b in pretoken.encode()]))]).tobytes()
             if len(pretoken) < 64:
                 self.pretokens[pretoken] = ids
         return ids
@@ -132,10 +149,18 @@ class TextEncoder:
 
     def _byte_unit(self, key: str) -> bytes:
         """key: a unit after one space; after "\\r" a unit as it stands; with "\\n" first, itself."""
-        unit = key[1:] if key[0] == "\r" else key if key[0] == "\n" else f" {key}"
-        if not unit.isascii() and max(unit) >= _LATIN_END:
-            return self._whole(unit)
-        return b"".join([self._merge(p) for p in _BYTE_UNITS.findall(unit)])
+        ascii_only = key.isascii()
+        if not ascii_only and max(key) >= _LATIN_END:
+            return self._whole(key[1:] if key[0] == "\r" else key if key[0] == "\n" else f" {key}")
+        if key.isalpha():  # with its space one pre-token
+            return array("I", [t.id for t in self.tokenize(self.letters[32] + (key if ascii_only else "".join([self.letters[b] for b in key.encode()])))]).tobytes()
+        if key[-1] in ",." and key[:-1].isalpha():
+            return self._ids(key[:-1]) + self._merge(key[-1])
+        parts = _BYTE_UNITS.findall(key[1:] if key[0] == "\r" else key if key[0] == "\n" else f" {key}")
+        return b"".join([self._ids(p[1:]) if p[0] == " " and p[1:].isalpha() else self._merge(p) for p in parts])
+
+    def _ids(self, unit: str) -> bytes:
+        return self.table.of(self.table[unit])
 
     def units(self, text: str) -> list[str] | None:
         """The text's units, None if only the library can encode it."""
@@ -145,7 +170,7 @@ class TextEncoder:
             return text.split()
         if not text:
             return []
-        if " ".join(text.split()) == text.replace("\n", " "):  # single separators only
+        if text[0] not in " \n" and text[-1] not in " \n" and not any(s in text for s in _UNEVEN):  # single separators only
             units = text.replace("\n", " \n").split(" ")
             units[0] = f"\r{units[0]}"
             return units

@@ -148,3 +148,14 @@ def test_workers_drop_what_others_handed_on():
     own = tokens.encoder(path)
     assert list(freeing(lambda b: b, hands_on=True)(iter([batch]))) == [batch] and tokens.encoder(path) is own
     assert list(freeing(lambda b: b)(iter([batch]))) == [batch] and tokens.encoder(path) is not own
+
+
+def test_nothing_is_merged_twice():
+    """Not a word beside a comma, nor a unit of the last table."""
+    own, library, asked = TextEncoder(BYTE, max_units=3), Tokenizer.from_file(BYTE), []
+    merge = own.tokenize
+    own.tokenize = lambda pretoken: asked.append(pretoken) or merge(pretoken)
+    for t in ("so alpha, alpha. alpha%% é", "so beta alpha é, gamma", "so beta", "so delta beta,"):
+        assert own.encode_many([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+    words = [p for p in asked if p[0] == "Ġ"]
+    assert words and len(words) == len(set(words))
