@@ -48,8 +48,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = deduplicated(_table(spark, sf_dir, "documents"), length=400)
-    return found.select(*digests(found), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    found = deduplicated(_table(spark, sf_dir, "documents"), length=400, words=51)
+    return found.select(*digests(found), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"), "n_shared_words")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,11 @@ def _word_hashes(b: np.ndarray) -> np.ndarray:
 
 def words(text: str) -> np.ndarray:
     """A hash of each word [^\\x20\\x09-\\x0D]+ of the text, A-Z lower-cased."""
-    b = _LOWER[np.frombuffer(text.encode(), np.uint8)]
+    return hashed_words(_LOWER[np.frombuffer(text.encode(), np.uint8)])
+
+
+def hashed_words(b: np.ndarray) -> np.ndarray:
+    """A hash of each word [^\\x20\\x09-\\x0D]+ of these bytes."""
     if len(b) <= _CHUNK:
         return _word_hashes(b)
     out, at = [], 0

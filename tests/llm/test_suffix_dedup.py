@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -118,3 +119,49 @@ def test_query_returns_the_kept_text(spark, tmp_path):
     spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text for r in queries()["op6_suffix_dedup"](spark, str(tmp_path)).collect()}
     assert got == {1: "before �", 2: "other � behind", 3: "clean ß", 4: "", 5: "", 6: ""}
+
+
+def test_hashes_of_words():
+    """Equal words, and only those, have one hash, wherever they stand and however long they are."""
+    rng = random.Random(2)
+    words = [bytes(rng.choices(b"ab\x00\xc3", k=rng.choice([*range(1, 10), 16, 17, 63, 64, 65, 72, 200]))) for _ in range(400)]
+    kept = {}
+    for gaps in (b" ", b"\n\t  ", b"\x0b"):
+        for text in (gaps.join(words), gaps + gaps.join(words[::-1]) + gaps):
+            got = module.spoken(np.frombuffer(text, np.uint8)).tolist()
+            assert len(got) == len(words)
+            assert all(kept.setdefault(w, h) == h for w, h in zip(words if text[:1] not in gaps else words[::-1], got, strict=True))
+    assert len(set(kept.values())) == len(kept)
+    assert not len(module.spoken(np.frombuffer(b" \n", np.uint8))) and not len(module.spoken(np.zeros(0, np.uint8)))
+
+
+def test_shared_words_against_brute_force(spark):
+    """Strings of 12 words that another row holds, most of them under 100 bytes; repeats inside one row and shorter ones do not count."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdé", k=rng.randint(1, 7)))
+    prose = lambda n: rng.choice([" ", "\n", " \t"]).join(word() for _ in range(n))
+    passages = [prose(n) for n in (11, 12, 13, 20, 60)]
+    out = [f"{prose(rng.randint(0, 30))} {rng.choice(passages)}  {prose(rng.randint(0, 30))}\n" for _ in range(40)]
+    out += ["own " * 30, f"{prose(4)} of{' of' * 11}", f"of{' of' * 10}", f" of{' of' * 40}", prose(11), prose(12), prose(90), None, "", f"{passages[3]} x {passages[3]}".upper()]
+    out += out[-6:] + out[:3] + [" ".join([prose(20)] * 3)]
+    data = [(None if k == 3 else k // 2, t) for k, t in enumerate(out)]
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in data]
+    holders = {}
+    for k, w in enumerate(split):
+        for i in range(len(w) - 11):
+            holders.setdefault(tuple(w[i : i + 12]), set()).add(k)
+    want = [(d, t or "", len({i + j for i in range(len(w) - 11) if len(holders[tuple(w[i : i + 12])]) > 1 for j in range(12)})) for (d, t), w in zip(data, split, strict=True)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.n_bytes, r.n_shared_words) for r in module.deduplicated(frame, 100, 12).collect()]
+    assert Counter(got) == Counter((d, len(t.encode()), n) for d, t, n in want)
+    assert any(n and len(t.encode()) < 100 for _, t, n in want) and any(0 < n < 30 for _, _, n in want)
+
+
+def test_query_tells_of_passages_too_short_to_remove(spark, tmp_path):
+    from batchplan.llm.catalog import queries
+
+    passage = " ".join(f"w{k}" for k in range(51))
+    data = [(1, f"before {passage}"), (2, f"{passage} behind"), (3, "clean"), (4, passage.replace("w9", "w", 1)), (5, passage[3:]), (6, None)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_shared_words) for r in queries()["op6_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 51), 2: (0, 51), 3: (0, 0), 4: (0, 0), 5: (0, 0), 6: (0, 0)}
