@@ -43,6 +43,8 @@ BITMAP, PAIRWISE = 256, 256
 LEAVE_OUT, SPARE = 16, 3
 #: Ids of candidate documents, and pairs (some 60 bytes each), are sent to every task up to so many; beyond it text and sets are shuffled.
 MOST_BROADCAST, MOST_PAIRS = 1_000_000, 300_000
+#: Classes for each file of a frame about them at least, if every core has one; few classes in many partitions would be files of a few rows.
+FILE_OF = 1_000
 
 
 def bands(longest: int, num: int, den: int) -> list[int]:
@@ -151,7 +153,7 @@ EDGE = "a binary, b binary"
 TOKENS = "hub binary, x binary, root binary, n long, d long, inside boolean, token long"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int, files: int | None = None) -> DataFrame:
     """The pairs (a, b) whose sets link. Pairs whose bitmaps differ too much go before whole sets are sent."""
     sides = [[F.col("cid").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("bits", "n"))] for c in "ab"]
 
@@ -162,7 +164,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     pairs = pairs.select("a", "b").join(sets.select(*sides[0]), "a").join(sets.select(*sides[1]), "b")
-    pairs = written(pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(freeing(near), EDGE))
+    pairs = written(pairs.select("a", "b", "bits_a", "bits_b", "n_a", "n_b").mapInArrow(freeing(near), EDGE), files)
     left, right = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("s")), sets.select(F.col("cid").alias("b"), F.col("tokens").alias("t"))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,6 +225,7 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
         if h and n > 1 and held[j]:
             spare = min(SPARE, h // 4)
             schemes[j] = allocate(h + spare, (total[j] + (total[j - 1] if j else 0)) / n, n)
+    files = max(spark.sparkContext.defaultParallelism, sum(sizes.values()) // FILE_OF)
     bound = spark.sparkContext.broadcast((band_of, first, schemes))  # a number for each size of set
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,20 +286,20 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
 
     signed = text.mapInArrow(freeing(sign), SIGNED)
     dealt = signed.repartition(F.xxhash64("sig", F.when(F.col("own") != F.col("k"), F.pmod("k", F.lit(SALTS))).otherwise(-1)))
-    buckets = written(dealt.sortWithinPartitions("sig", "k", "own").mapInArrow(freeing(met), SIGNED))
+    buckets = written(dealt.sortWithinPartitions("sig", "k", "own").mapInArrow(freeing(met), SIGNED), files)
 
     least = [(n, scheme & 1, least_met(n, scheme, first, schemes, num, den)) for n in sizes for scheme in (int(band_of[n]), int(band_of[n]) + 1) if scheme in schemes]
     least = pa.table([pa.array(c, pa.int32()) for c in zip(*least, strict=True)] or [pa.array([], pa.int32())] * 3, names=["n", "odd", "least"])
-    members = _able(buckets, classes.select(F.col("hi").alias("k"), "cid", "n"), spark.createDataFrame(least))
+    members = _able(buckets, classes.select(F.col("hi").alias("k"), "cid", "n"), spark.createDataFrame(least), files)
 
     # Hubs: of each bucket the member that meets most others.
     members = _crowds(members)
     weights = members.groupBy("cid").agg(F.sum("size").alias("w"))
-    members = written(members.join(weights, "cid").select("sig", "cid", "n", "w", "out"))
+    members = written(members.join(weights, "cid").select("sig", "cid", "n", "w", "out"), files)
     hubs = members.groupBy("sig").agg(F.max_by(F.struct("cid", "n", "w"), F.struct("w", "cid")).alias("hub"), F.count("*").alias("size"))
     able = F.least("n", "hub.n") * den >= F.greatest("n", "hub.n") * num
     met_hub = members.join(hubs, "sig").where((F.col("cid") != F.col("hub.cid")) & able)
-    starred = written(met_hub.groupBy(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).agg(F.max("hub.w").alias("w"), F.max((F.col("size") > PAIRWISE).cast("int")).alias("large")))
+    starred = written(met_hub.groupBy(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).agg(F.max("hub.w").alias("w"), F.max((F.col("size") > PAIRWISE).cast("int")).alias("large")), files)
 
     wanted = settled(members.select("cid").distinct())
     reps = wanted.join(classes, "cid").select(F.col("rep").alias("id"), "cid")
@@ -309,32 +312,32 @@ def _links(text: DataFrame, classes: DataFrame, sizes: dict[int, int], width: in
 
     ids = reps.select("id").distinct()
     own = text.join(F.broadcast(ids) if count <= MOST_BROADCAST else ids, text["id"].eqNullSafe(ids["id"]), "left_semi")
-    sets = written(own.mapInArrow(freeing(again), KEPT).join(F.broadcast(wanted) if count <= MOST_BROADCAST else wanted, "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens")))
+    sets = written(own.mapInArrow(freeing(again), KEPT).join(F.broadcast(wanted) if count <= MOST_BROADCAST else wanted, "cid").groupBy("cid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("tokens").alias("tokens")), files)
 
     # Each member first meets the heaviest of its hubs, then in ordinary buckets the members of other components.
     heavy = starred.groupBy("a").agg(F.max_by("b", F.struct("w", "b")).alias("b"))
-    links = settled(_verified(heavy, sets, num, den))
+    links = settled(_verified(heavy, sets, num, den, files))
     roots = settled(components(links))
-    rows = written(_rooted(members.join(hubs.select("sig", "size"), "sig"), "cid", roots, "root"))
+    rows = written(_rooted(members.join(hubs.select("sig", "size"), "sig"), "cid", roots, "root"), files)
     pairs = _ordinary_pairs(rows.where(F.col("size") <= PAIRWISE), first, schemes, num, den)
-    links = settled(links.unionByName(_verified(pairs, sets, num, den)))
+    links = links.unionByName(settled(_verified(pairs, sets, num, den, files)))
     # Large buckets: all hubs, a second hub for what their hub's component has not taken in, and differences for the rest.
     members = members.join(hubs.where(F.col("size") > PAIRWISE).select("sig"), "sig", "left_semi")
     if members.isEmpty():
         return links
     roots = settled(components(links))
-    members = written(members)
+    members = written(members, files)
     starred = starred.where("large = 1").select("a", "b")
     more = _rooted(_rooted(starred, "a", roots, "ra"), "b", roots, "rb").where("ra <> rb")
-    links = settled(links.unionByName(_verified(more, sets, num, den)))
+    links = links.unionByName(settled(_verified(more, sets, num, den, files)))
     heaviest = lambda rows: rows.groupBy("sig").agg(F.max_by(F.struct("cid", "n", "w"), F.struct("w", "cid")).alias("hub"))
     apart = _apart(members, links)
     second = apart.join(heaviest(apart), "sig").where((F.col("cid") != F.col("hub.cid")) & able).select(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).distinct()
-    links = settled(links.unionByName(_verified(second, sets, num, den)))
+    links = links.unionByName(settled(_verified(second, sets, num, den, files)))
     roots = settled(components(links))
     rows = members.join(hubs, "sig").where(F.col("cid") != F.col("hub.cid")).select(F.col("cid").alias("a"), F.col("hub.cid").alias("b")).distinct()
-    rest = written(_by_difference(_rooted(_rooted(rows, "a", roots, "ra"), "b", roots, "rb"), sets, num, den))
-    return links.unionByName(_verified(rest, sets, num, den))
+    rest = written(_by_difference(_rooted(_rooted(rows, "a", roots, "ra"), "b", roots, "rb"), sets, num, den, files), files)
+    return links.unionByName(_verified(rest, sets, num, den, files))
 
 
 def _crowds(members: DataFrame) -> DataFrame:
@@ -342,7 +345,7 @@ def _crowds(members: DataFrame) -> DataFrame:
     return members.join(members.groupBy("sig").agg(F.count("*").alias("size")).where("size > 1"), "sig")
 
 
-def _able(buckets: DataFrame, keys: DataFrame, least: DataFrame) -> DataFrame:
+def _able(buckets: DataFrame, keys: DataFrame, least: DataFrame, files: int | None = None) -> DataFrame:
     """(sig, cid, n, out): the members of the buckets (sig, k, own) without sets that meet others too seldom to link by that scheme, and without the
     crowded buckets that a set may leave out, `out` in number. least: (n, odd, least), in how many buckets a set of n tokens meets any partner, for its even and its odd scheme."""
     of = Window.partitionBy("k", "cid", "odd")
@@ -350,12 +353,12 @@ def _able(buckets: DataFrame, keys: DataFrame, least: DataFrame) -> DataFrame:
     every = buckets.select("sig", "k").unionByName(buckets.select("sig", F.col("own").alias("k"))).repartition("k").distinct().join(keys, "k")
     every = every.withColumn("odd", F.col("sig").bitwiseAND(F.lit(1)).cast("int")).join(F.broadcast(least), ["n", "odd"])
     for _ in range(2):
-        every = _crowds(written(every.withColumn("met", met).where("met >= least").drop("met")))
+        every = _crowds(written(every.withColumn("met", met).where("met >= least").drop("met"), files))
         every = every.withColumn("met", met).where("met >= least").drop("met") if _ else every.drop("size")
     last = F.row_number().over(of.orderBy(F.desc("size"), "sig"))
     goes = (F.col("size") > LEAVE_OUT) & (F.col("last") < F.col("least"))
     every = every.withColumn("last", last).withColumn("goes", goes).withColumn("out", F.count_if("goes").over(of))
-    return written(every.where("not goes").select("sig", "cid", "n", "out"))
+    return written(every.where("not goes").select("sig", "cid", "n", "out"), files)
 
 
 def _rooted(frame: DataFrame, column: str, roots: DataFrame, name: str) -> DataFrame:
@@ -398,7 +401,7 @@ def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(hubs, "sig").where("root <> most").select("sig", "cid", "n", "w")
 
 
-def _by_difference(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _by_difference(rows: DataFrame, sets: DataFrame, num: int, den: int, files: int | None = None) -> DataFrame:
     """Pairs (a, b) of different components that may link, by their differences from a common hub; rows: (a, b, ra, rb), members with their hub and the components of both."""
     wide = rows.groupBy("b").agg(F.max((F.col("ra") != F.col("rb")).cast("int")).alias("open")).where("open = 1").select("b")
     rows = rows.join(wide, "b").select("a", "b", F.col("ra").alias("root"), (F.col("ra") == F.col("rb")).alias("inside"))
@@ -424,7 +427,7 @@ def _by_difference(rows: DataFrame, sets: DataFrame, num: int, den: int) -> Data
                 out[6].extend([*prefix.astype(np.int64).tolist(), None])
             yield _batch(TOKENS, *out)
 
-    tokens = written(rows.join(left, "a").join(right, "b").select("a", "b", "root", "inside", "s", "t", "lo", "hi").mapInArrow(freeing(differ), TOKENS))
+    tokens = written(rows.join(left, "a").join(right, "b").select("a", "b", "root", "inside", "s", "t", "lo", "hi").mapInArrow(freeing(differ), TOKENS), files)
     shared = tokens.where("token is not null")
     often = shared.groupBy("hub", "token").agg(F.count("*").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub", "token")
     shared = shared.join(often, ["hub", "token"])

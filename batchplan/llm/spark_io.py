@@ -54,6 +54,23 @@ def _set(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
 #: Texts go to Python workers in batches of so many bytes, as two copies of a batch are held outside the heap.
 _BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 _CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: Files of a shared folder that is mounted (file:) are written without Hadoop's checksum layer. That one starts the program chmod for each file and each
+#: checksum file, and while it starts a second process with all of the executor's memory is there; without it, checkpoints start none and Parquet one for a file and one for its folder. Other stores are not concerned.
+_PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+@contextlib.contextmanager
+def _hadoop(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Hadoop's settings while frames are computed here, and as they were afterwards."""
+    own = spark.sparkContext._jsc.hadoopConfiguration()
+    before = {k: own.getRaw(k) for k in conf}
+    for k, v in conf.items():
+        own.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            own.unset(k) if v is None else own.set(k, v)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -61,16 +78,16 @@ def settled(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    with _set(df.sparkSession, _BATCHES):
+    with _set(df.sparkSession, _BATCHES), _hadoop(df.sparkSession, _PLAIN):
         return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As settled(), as compressed Parquet in the shared folder: for frames of many rows. The shuffle files that led to it go with the write."""
+def written(df: DataFrame, files: int | None = None) -> DataFrame:
+    """As settled(), as compressed Parquet in the shared folder: for frames of many rows. The shuffle files that led to it go with the write; pages are read with their checksums. files: at most so many, each written by one task."""
     spark, place = df.sparkSession, f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     with _set(spark, _BATCHES | _CLEANUP):
-        df.write.parquet(place)
-    return spark.read.schema(df.schema).parquet(place)
+        (df.coalesce(files) if files else df).write.options(**_PLAIN).parquet(place)
+    return spark.read.schema(df.schema).option("parquet.page.verify-checksum.enabled", "true").parquet(place)
 
 
 #: Clears what an operator's tasks hand on within a worker, for the tasks of others.
